@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from joinlens.llm.common import saved, steps, table, text_of
 
-Q = 10
-EDITS = 0.1
+Q = 8
+EDITS = 0.08
 #: Bytes of benchmark that one pass over the documents compares; a larger benchmark takes more passes.
 BLOCK_BYTES = 4_000_000
 _BITS = 24

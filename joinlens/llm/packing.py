@@ -162,7 +162,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     # All pieces of one task's part meet in one task again, so that ranks inside it are handed out once.
-    joined = pieces.join(first, ["part", "length"]).select("part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "base")
+    joined = pieces.join(first.hint("merge"), ["part", "length"]).select("part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "base")
     return joined.repartition("part").mapInArrow(assign, f"{PIECES}, sequence_id long, offset long")
 
 

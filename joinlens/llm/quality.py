@@ -30,9 +30,13 @@ from joinlens.llm.common import saved, steps, table, text_of
 #: Bound of the labelled sample that the classifier is fitted on, in documents (about).
 MAX_LABELLED = 4000
 #: Words that the classifier uses at most for each target.
-MAX_WORDS = 300
+MAX_WORDS = 150
 MIN_WORD_DOCS = 4
+#: How many standard errors a word's label rate must be off the mean.
+MIN_Z = 4.0
 TARGETS = ("quality", "toxic")
+#: Toxicity is a matter of words, hardly of shape.
+SHAPE_PENALTY = {"quality": 0.02, "toxic": 50.0}
 #: Limits of a group's shift of the prior, in log-odds: a host alone never decides.
 MAX_SHIFT = 1.0
 
@@ -67,9 +71,10 @@ class Model:
         return out + self.weights[:, hit].sum(1) if hit else out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Newton steps with a ridge penalty (not on the constant), from the class balance."""
+def _logistic(x: np.ndarray, y: np.ndarray, shapes: float, penalty: float = 0.005, rounds: int = 25) -> np.ndarray:
+    """Newton steps with ridge penalties for words and for shapes (not on the constant)."""
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+    ridge[:SHAPES] = shapes
     ridge[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -100,14 +105,15 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     seen = saved(rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(features, schema), "labelled")
     base = seen.select("doc_id", "shape", *TARGETS).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(base["shape"].to_list(), float).reshape(-1, SHAPES)
-    n, vocabulary = len(base), []
+    n, own = len(base), {t: [] for t in TARGETS}
     counts = seen.select(F.explode("words").alias("word"), *TARGETS).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).where(f"n >= {MIN_WORD_DOCS}")
     for t in TARGETS:
         p = float(base[t].mean()) if n else 0.0
         if 0 < p < 1:
             z = (F.col(t) - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)) + 1)
-            vocabulary += [r["word"] for r in counts.orderBy(F.desc(F.abs(z)), "word").limit(MAX_WORDS).select("word").collect()]
-    words = {w: i for i, w in enumerate(dict.fromkeys(vocabulary))}
+            z = z if t == "toxic" else F.abs(z)  # only presence of a word makes a text toxic
+            own[t] = [r["word"] for r in counts.where(z >= MIN_Z).orderBy(F.desc(z), "word").limit(MAX_WORDS).select("word").collect()]
+    words = {w: i for i, w in enumerate(dict.fromkeys(w for t in TARGETS for w in own[t]))}
     weights = np.zeros((len(TARGETS), SHAPES + len(words)))
     if words:
         which = seen.select("doc_id", F.array_intersect("words", F.array(*map(F.lit, words))).alias("words")).toPandas().sort_values("doc_id", kind="stable")
@@ -118,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     for k, t in enumerate(TARGETS):
         y = base[t].to_numpy(float)
         if 0 < y.mean() < 1 if n else False:
-            weights[k, : x.shape[1]] = _logistic(x, y)
+            used = [*range(SHAPES), *(SHAPES + words[w] for w in own[t])]
+            weights[k, used] = _logistic(x[:, used], y, SHAPE_PENALTY[t])
         elif t == "quality":
             weights[k, 0] = 30.0
         else:
