@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,3 +73,9 @@ def joined_bytes(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.nda
     data = array.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are saved; it does so when the driver's objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

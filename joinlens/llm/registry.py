@@ -13,12 +13,13 @@ from joinlens.llm.neardup import OP4_SQL, op4_near_duplicates
 from joinlens.llm.packing import op7_packing
 from joinlens.llm.pii import op3_pii
 from joinlens.llm.quality import op5_quality
+from joinlens.llm.suffixes import op1_suffix_dedup
 from joinlens.llm.warc import OP6_SQL, op6_warc
 from joinlens.llm.wrapper import op8_wrapper_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lz_fingerprint, op3_pii, op4_near_duplicates, op5_quality, op6_warc, op7_packing, op8_wrapper_text, op9_language_id, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_lz_fingerprint, op3_pii, op4_near_duplicates, op5_quality, op6_warc, op7_packing, op8_wrapper_text, op9_language_id, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
