@@ -1,14 +1,73 @@
-"""The corpus pipeline: stages from raw documents to packed training sequences."""
+"""The corpus pipeline, from raw documents to packed training sequences.
+
+Stages in order: language ID (documents that it rejects go), MinHash near-duplicates (one document of each group stays), benchmark
+decontamination (documents with a benchmark passage go), personal data (spans become their kind in angle
+brackets), packing. All stages but the last return the columns of documents.
+
+Each stage is written as Parquet to the shared folder and read again for the next one.
+
+Cases: as each operator defines them. Language ID learns from the table that it filters, all rows with a
+language. A table without rows goes through all stages; a null text has no letter, so language ID rejects it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from joinlens.llm import decontaminate, langid, neardup, packing, pii
+from joinlens.llm.common import saved, table
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near a known language, as they are."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicated(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify),
+    ("near_duplicates", deduplicate),
+    ("decontamination", decontaminated),
+    ("personal_data", redact),
+    ("packing", pack),
+]
+
+#: Language centroids, signatures, alignments and token ids have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def queries() -> dict:
-    return {}
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents that pass."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": pipeline}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

@@ -29,7 +29,7 @@ MAX_PER_LANGUAGE = 600
 MAX_LANGUAGES = 256
 CENTROIDS = 4
 #: A text whose best cosine is below this is rejected.
-MIN_COSINE = 0.12
+MIN_COSINE = 0.06
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _FOLD = np.full(256, 32, np.uint8)
@@ -145,6 +145,23 @@ def predict(docs: DataFrame, model: Model, min_cosine: float = MIN_COSINE) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """The same rows and columns without those that are rejected. Without a model (nothing to learn from) only texts without a letter go."""
+    place = docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            texts, data, starts = _lowered(batch)
+            keep = np.array([has_letter(t) for t in texts])
+            if model.languages:
+                keep &= (_vectors(trigram_counts(data, starts), model.idf) @ model.centroids.T).max(1) >= min_cosine
+            yield batch.filter(pa.array(keep))
+
+    if docs.schema[place].dataType.typeName() != "string":
+        docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
