@@ -7,8 +7,8 @@ values are candidates, so the depth at which a region is compared follows how de
 are screened by their whole signatures and confirmed on full shingle sets; links give components.
 
 Three rounds, each only with pairs that no links join so far: close neighbours in a few trees (this joins large groups of
-copies with few comparisons), wider neighbourhoods in all trees, and last every pair of one full-depth
-bucket that still spans several components. A pair at the threshold misses all of 24 full-depth
+copies with few comparisons), wider neighbourhoods in all trees, and last an exact join of the classes in full-depth
+buckets that still span several components. A pair at the threshold misses all of 24 full-depth
 buckets with probability (1 - 0.85**6)**24, about 1 in 80,000, and is mostly met in the earlier rounds too.
 
 Cases: null or wordless text has the empty set and is linked with nothing. Rows with equal doc_id count as one
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from joinlens.llm.common import joined_bytes, saved, steps, table, text_of
+from joinlens.llm.common import joined_bytes, release, saved, steps, table, text_of
 from joinlens.llm.graph import components
 
 WORDS = 5
@@ -143,6 +143,11 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["node", "shingles"])
 
 
+def _single_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _sets(batches, lambda i, s: (i, s)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([i for i, _ in rows], np.int64), [len(s) for _, s in rows])), pa.array(np.concatenate([s for _, s in rows]).view(np.int64))], ["node", "shingle"])
+
+
 def _neighbours(keys: DataFrame, near: int) -> DataFrame:
     """u, v: classes of different components that are at most ``near`` places apart in a tree's order and share LEAST_DEPTH values."""
 
@@ -224,6 +229,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     signed = saved(rows.mapInArrow(_signatures, "doc_id long, n long, h1 long, h2 long, sig binary"), "signatures")
     # Copies of one set, however many, become one row before anything is shuffled by it.
@@ -235,9 +241,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             found = components(links)
             nodes = saved(nodes.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
         keys = _keys(nodes, trees)
-        pairs = _neighbours(keys, near) if near else _unjoined(keys)
+        pairs = _neighbours(keys, near) if near else _unjoined(keys, rows, nodes)
         pairs = saved(_screened(pairs, nodes), "candidates")
         new = _confirmed(pairs, rows, nodes)
+        release(spark)
         links = new if links is None else links.unionByName(new)
     found = saved(components(links), "components")
     of_class = nodes.select("n", "h1", "h2", "node").join(found, "node", "left").select("n", "h1", "h2", F.coalesce("component", "node").alias("component"))
@@ -247,16 +254,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
-def _unjoined(keys: DataFrame) -> DataFrame:
-    """All pairs of different components in one full-depth bucket: every class outside the bucket's largest component against all others."""
+def _unjoined(keys: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of different components that could still be near, by exact prefix filtering.
+
+    Taken are the classes in a full-depth bucket that spans several components. Two sets at the threshold share one
+    of the rarest n - ceil(threshold * n) + 1 shingles of each, whatever the order; rarest first, a
+    shingle that all of a crowd has is hardly ever among them, so the crowd's size doesn't multiply.
+    """
     keys = keys.withColumn("bucket", F.xxhash64("tree", "key"))
     mixed = keys.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rows = saved(keys.join(mixed, "bucket").select("bucket", "node", "component"), "mixed")
-    main = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = rows.join(main, "bucket")
-    s, o = rest.where("component <> main").alias("s"), rest.alias("o")
-    pairs = s.join(o, F.col("s.bucket") == F.col("o.bucket")).where("s.component <> o.component and (o.component = o.main or s.node < o.node)")
-    return pairs.select(F.greatest("s.node", "o.node").alias("u"), F.least("s.node", "o.node").alias("v")).distinct()
+    own = saved(keys.join(mixed, "bucket").select("node").distinct(), "mixed")
+    texts = docs.join(own.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    tokens = texts.select("doc_id", "text").mapInArrow(_single_shingles, "node long, shingle long").distinct()
+    often = tokens.withColumn("df", F.count("*").over(Window.partitionBy("shingle")))
+    rare = Window.partitionBy("node").orderBy("df", "shingle")
+    ranked = often.withColumn("rank", F.row_number().over(rare)).withColumn("n", F.count("*").over(Window.partitionBy("node")))
+    front = ranked.where(f"df > 1 and rank <= n - ceil(n * {PERCENT} / 100) + 1").join(nodes.select("node", "component"), "node")
+    front = saved(front.select("shingle", "node", "component", "n", "rank"), "front")
+    shared = front.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    rows = front.join(shared, "shingle")
+    a, b = rows.alias("a"), rows.alias("b")
+    # A common shingle at some rank leaves no more than the ranks from there on to share.
+    room = F.expr(f"(100 + {PERCENT}) * (least(a.n - a.rank, b.n - b.rank) + 1) >= {PERCENT} * (a.n + b.n)")
+    near = room & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)")
+    return a.join(b, near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
