@@ -103,19 +103,31 @@ def anchors_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], a - starts[text[first]], a - last, a - first, h[a]
 
 
-ANCHOR = "kmer long, doc_id long, tie int, pos int, low int, high int"
+ANCHOR = "kmer long, doc_id long, tie int, pos int, low int, high int, known boolean, place long"
+
+
+def _placed(kmer: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors are known to repeat as their step has the kmer twice, and where each goes: the first of
+    a step by its kmer, where it meets those of other steps; the others, whose fate is known, anywhere. So a very
+    common kmer sends one row for each step to its task."""
+    _, first, inverse, count = np.unique(kmer, return_index=True, return_inverse=True, return_counts=True)
+    known = count[inverse] > 1
+    anywhere = known.copy()
+    anywhere[first] = False
+    return known, np.where(anywhere, kmer.view(np.int64) ^ (pos * 2654435761 + np.arange(len(pos)) * 40503), kmer.view(np.int64))
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text"):
         data, starts = joined_bytes(batch, "text")
         text, pos, low, high, kmer = anchors(data, starts)
+        known, place = _placed(kmer, pos)
         rows = pa.array(text)
-        yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in (pos, low, high))], [f.split()[0] for f in ANCHOR.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in (pos, low, high)), pa.array(known), pa.array(place)], [f.split()[0] for f in ANCHOR.split(", ")])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by kmer, those whose kmer occurs twice at least. Holds one row back."""
+    """Of rows sorted by kmer, those whose kmer occurs twice at least or is known to. Holds one row back."""
     held: pa.RecordBatch | None = None
     linked = False  # the held row's kmer equals the one before it
     for batch in batches:
@@ -125,17 +137,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = k[1:] == k[:-1]
         if held is not None:
             meets = held.column(0)[0].as_py() == int(k[0])
-            if linked or meets:
+            if linked or meets or held.column(6)[0].as_py():
                 yield held
         else:
             meets = False
-        keep = np.concatenate([[meets], same]) | np.concatenate([same, [False]])
+        keep = np.concatenate([[meets], same]) | np.concatenate([same, [False]]) | batch.column(6).to_numpy(zero_copy_only=False)
         linked = bool(meets) if len(k) == 1 else bool(same[-1])
         held = batch.slice(len(k) - 1, 1)
         keep[-1] = False
         if keep.any():
             yield batch.filter(pa.array(keep))
-    if held is not None and linked:
+    if held is not None and (linked or held.column(6)[0].as_py()):
         yield held
 
 
@@ -387,7 +399,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.select("doc_id", "tie", "text").mapInArrow(_find_anchors, ANCHOR)
-    twice = saved(found.repartition(parts, "kmer").sortWithinPartitions("kmer").mapInArrow(_repeated, ANCHOR), "anchors")
+    twice = saved(found.repartition(parts, "place").sortWithinPartitions("kmer").mapInArrow(_repeated, ANCHOR), "anchors")
     release(spark)
     buckets = max(parts, -(-twice.count() // BUCKET))
     of_doc = twice.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("kmer", "pos", "low", "high")).alias("anchors"))
