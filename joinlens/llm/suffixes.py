@@ -399,7 +399,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.select("doc_id", "tie", "text").mapInArrow(_find_anchors, ANCHOR)
-    twice = saved(found.repartition(parts, "place").sortWithinPartitions("kmer").mapInArrow(_repeated, ANCHOR), "anchors")
+    twice = saved(found.repartition(parts, "place").sortWithinPartitions("kmer").mapInArrow(_repeated, ANCHOR).drop("known", "place"), "anchors")
     release(spark)
     buckets = max(parts, -(-twice.count() // BUCKET))
     of_doc = twice.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("kmer", "pos", "low", "high")).alias("anchors"))
