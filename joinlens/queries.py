@@ -1,9 +1,602 @@
 """The queries of the estimation engine and the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from joinlens.functions import encode
+from joinlens.operators import aggregates, bayes, binning, bound, evaluate, factors, independence, sampling
+from joinlens.plans.parser import parse, parse_what_if
+from joinlens.schema import driver_schema, load, register
+from joinlens.streaming import update
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, and its SQL."""
+
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
+
+
+def _tables(spark: SparkSession, sf: str):
+    return lambda name: load(spark, sf, name)
+
+
+TWO_WAY = "SELECT COUNT(*) FROM lineitem l, orders o WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity <= 20 AND o.o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'"
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark, sf, ["lineitem", "orders"])
+    return bound.flagship_row(spark, TWO_WAY, bins=50)
+
+
+# Binning and bin statistics
+
+_COUNTS = "SELECT l_orderkey AS value, COUNT(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1"
+_HIST = f"SELECT n, COUNT(*) AS v FROM ({_COUNTS}) GROUP BY 1"
+
+
+@query(f"SELECT n, v AS values_with_n FROM ({_HIST})")
+def key_frequency_hist(spark, sf):
+    return binning.frequency_histogram(binning.key_counts(load(spark, sf, "lineitem"), "l_orderkey")).withColumnRenamed("values", "values_with_n")
+
+
+@query(f"""WITH h AS ({_HIST}), w AS (SELECT n, v, SUM(n * v) OVER () AS total,
+  COALESCE(SUM(n * v) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+SELECT CAST(FLOOR(before * 8 / total) AS INT) AS bin, CAST(SUM(v) AS BIGINT) AS width, CAST(SUM(n * v) AS BIGINT) AS mass, MAX(n) AS mfv FROM w GROUP BY 1""")
+def equal_freq_bins(spark, sf):
+    h = binning.frequency_histogram(binning.key_counts(load(spark, sf, "lineitem"), "l_orderkey"))
+    return binning.equal_frequency_share(h, 8).groupBy("bin").agg(F.sum("values").alias("width"), F.sum(F.col("n") * F.col("values")).alias("mass"), F.max("n").alias("mfv"))
+
+
+@query("SELECT CAST(LEAST(FLOOR(o_custkey * 16.0 / (SELECT MAX(o_custkey) FROM orders)), 15) AS INT) AS bin, COUNT(*) AS mass FROM orders GROUP BY 1")
+def equal_width_bins(spark, sf):
+    o = load(spark, sf, "orders")
+    high = o.agg(F.max("o_custkey")).first()[0]
+    return o.groupBy(binning.equal_width_bin(F.col("o_custkey"), 0, float(high), 16).alias("bin")).agg(F.count("*").alias("mass"))
+
+
+@query(f"SELECT CAST(value % 32 AS INT) AS bin, CAST(SUM(n) AS BIGINT) AS mass, MAX(n) AS mfv FROM ({_COUNTS}) GROUP BY 1")
+def bin_mfv_1d(spark, sf):
+    c = binning.key_counts(load(spark, sf, "lineitem"), "l_orderkey")
+    return binning.bin_statistics(c, binning.modulo_bin(F.col("value"), 32)).select("bin", "mass", "mfv")
+
+
+@query(f"SELECT CAST(value % 32 AS INT) AS bin, ROUND(AVG(n), 6) AS mean, ROUND(VAR_POP(n), 6) AS var, COUNT(*) AS width FROM ({_COUNTS}) GROUP BY 1")
+def bin_mean_variance(spark, sf):
+    c = binning.key_counts(load(spark, sf, "lineitem"), "l_orderkey")
+    return _rounded(binning.bin_statistics(c, binning.modulo_bin(F.col("value"), 32)).select("bin", "mean", "var", "width"), "mean", "var")
+
+
+@query("""WITH r AS (SELECT l_partkey % 8 AS b1, l_suppkey % 4 AS b2, l_partkey AS k1, l_suppkey AS k2 FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL),
+m AS (SELECT b1, b2, COUNT(*) AS mass FROM r GROUP BY 1, 2),
+a AS (SELECT b1, b2, MAX(n) AS v FROM (SELECT b1, b2, k1, COUNT(*) AS n FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b AS (SELECT b1, b2, MAX(n) AS v FROM (SELECT b1, b2, k2, COUNT(*) AS n FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT CAST(b1 AS INT) AS bin_l_partkey, CAST(b2 AS INT) AS bin_l_suppkey, mass, a.v AS mfv_l_partkey, b.v AS mfv_l_suppkey FROM m JOIN a USING (b1, b2) JOIN b USING (b1, b2)""")
+def bin_mfv_2d(spark, sf):
+    return binning.cell_modes(load(spark, sf, "lineitem"), {"l_partkey": binning.modulo_bin(F.col("l_partkey"), 8), "l_suppkey": binning.modulo_bin(F.col("l_suppkey"), 4)})
+
+
+@query("""WITH l AS (SELECT k % 16 AS b, AVG(n) AS m, VAR_POP(n) AS v FROM (SELECT l_orderkey AS k, COUNT(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1),
+o AS (SELECT k % 16 AS b, AVG(n) AS m, VAR_POP(n) AS v FROM (SELECT o_orderkey AS k, COUNT(*) AS n FROM orders GROUP BY 1) GROUP BY 1)
+SELECT ROUND(SUM((l.v + l.m * l.m) * (o.v + o.m * o.m) - l.m * l.m * o.m * o.m), 4) AS score FROM l JOIN o USING (b)""")
+def variance_product_score(spark, sf):
+    def side(table, key, name):
+        c = binning.key_counts(load(spark, sf, table), key)
+        return binning.bin_statistics(c, binning.modulo_bin(F.col("value"), 16)).select("bin", F.col("mean").alias(f"mean_{name}"), F.col("var").alias(f"var_{name}"))
+
+    both = side("lineitem", "l_orderkey", "l").join(side("orders", "o_orderkey", "o"), "bin")
+    return binning.variance_product(both, ["l", "o"]).withColumn("score", F.round("score", 4))
+
+
+@query("""SELECT CAST(CASE WHEN o_custkey % 16 < 10 THEN o_custkey % 16 ELSE 10 END AS INT) AS bin, COUNT(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1""")
+def bin_assignment_with_unseen(spark, sf):
+    o = load(spark, sf, "orders")
+    m = load(spark, sf, "customer").select(F.col("c_custkey").alias("value")).union(o.select("o_custkey")).distinct().where("value % 16 < 10").withColumn("bin", binning.modulo_bin(F.col("value"), 16))
+    return binning.assign(o, "o_custkey", m, "bin", unseen=10).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query()
+def greedy_joint_bins(spark, sf):
+    """Joint bins of the order key group, and what each key has in them."""
+    keys = [binning.key_counts(load(spark, sf, t), k) for t, k in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))]
+    m = binning.greedy_bins(keys, 32)
+    l, o = (m.join(k, "value", "left").groupBy("bin").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mass"), F.coalesce(F.max("n"), F.lit(0)).alias("mfv")) for k in keys)
+    return l.alias("l").join(o.alias("o"), "bin").select("bin", F.col("l.mass").alias("mass_l"), F.col("l.mfv").alias("mfv_l"), F.col("o.mass").alias("mass_o"), F.col("o.mfv").alias("mfv_o"))
+
+
+@query("""SELECT CAST(o_custkey % 20 AS INT) AS bin, ROUND(COUNT(*) * 1.0 / (SELECT COUNT(o_custkey) FROM orders), 6) AS probability, (SELECT COUNT(*) FROM orders) AS table_rows,
+  ROUND((SELECT COUNT(o_custkey) * 1.0 / COUNT(*) FROM orders), 6) AS non_null_frac FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1""")
+def unfiltered_factor(spark, sf):
+    return _rounded(sampling.unfiltered_factor(load(spark, sf, "orders"), "o_custkey", binning.modulo_bin(F.col("o_custkey"), 20)), "probability", "non_null_frac")
+
+
+@query("""SELECT 'l_partkey' AS key, CAST(l_partkey % 10 AS INT) AS bin, COUNT(*) AS n FROM lineitem WHERE l_discount >= 0.05 GROUP BY 2
+UNION ALL SELECT 'l_suppkey', CAST(l_suppkey % 10 AS INT), COUNT(*) FROM lineitem WHERE l_discount >= 0.05 GROUP BY 2""")
+def filtered_factor(spark, sf):
+    return sampling.binned_counts(load(spark, sf, "lineitem"), "l_discount >= 0.05", {k: binning.modulo_bin(F.col(k), 10) for k in ("l_partkey", "l_suppkey")})
+
+
+@query("""SELECT 'o_orderkey' AS key, COUNT(o_orderkey) AS n_rows, COUNT(DISTINCT o_orderkey) AS n_distinct, COUNT(DISTINCT o_orderkey) >= 0.99 * COUNT(o_orderkey) AS is_key FROM orders
+UNION ALL SELECT 'o_custkey', COUNT(o_custkey), COUNT(DISTINCT o_custkey), COUNT(DISTINCT o_custkey) >= 0.99 * COUNT(o_custkey) FROM orders""")
+def pk_detection(spark, sf):
+    o = load(spark, sf, "orders")
+    one, two = (binning.is_primary_key(o, k).select(F.lit(k).alias("key"), "n_rows", "n_distinct", "is_key") for k in ("o_orderkey", "o_custkey"))
+    return one.unionByName(two)
+
+
+@query("SELECT l_partkey AS value, COUNT(*) AS n, CAST(COUNT(*) * 10.0 AS DOUBLE) AS scaled FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def sample_top_values(spark, sf):
+    s = sampling.modulo_sample(load(spark, sf, "lineitem"), "l_orderkey", 10)
+    return s.df.groupBy(F.col("l_partkey").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(10).withColumn("scaled", F.col("n") / s.rate)
+
+
+# Bounds of join sizes
+
+
+def _two_way_sql(lf: str, of: str, bins: int) -> str:
+    return f"""WITH l AS (SELECT l_orderkey AS k, COUNT(*) AS c FROM lineitem WHERE {lf} GROUP BY 1), o AS (SELECT o_orderkey AS k, COUNT(*) AS c FROM orders WHERE {of} GROUP BY 1),
+lb AS (SELECT k % {bins} AS b, SUM(c) AS p, MAX(c) AS v FROM l GROUP BY 1), ob AS (SELECT k % {bins} AS b, SUM(c) AS p, MAX(c) AS v FROM o GROUP BY 1)
+SELECT CAST(COALESCE(SUM(LEAST(lb.p * ob.v, ob.p * lb.v)), 0) AS DOUBLE) AS bound FROM lb JOIN ob USING (b)"""
+
+
+@query(_two_way_sql("l_quantity <= 20", "o_orderdate >= TIMESTAMP '1997-01-01'", 50))
+def bound_two_way(spark, sf):
+    return bound.estimate(spark, TWO_WAY, _tables(spark, sf), driver_schema(), bins=50)
+
+
+@query(_two_way_sql("true", "true", 64))
+def bound_unfiltered(spark, sf):
+    return bound.estimate(spark, "SELECT COUNT(*) FROM lineitem l, orders o WHERE l.l_orderkey = o.o_orderkey", _tables(spark, sf), bins=64)
+
+
+@query(_two_way_sql("l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-06-30' AND (l_returnflag = 'R' OR l_linestatus = 'O')", "o_orderpriority LIKE '1%' AND o_orderstatus IN ('F', 'O')", 64))
+def bound_filtered(spark, sf):
+    text = """SELECT COUNT(*) FROM lineitem l, orders o WHERE l.l_orderkey = o.o_orderkey AND l.l_shipdate BETWEEN '1996-01-01'::timestamp AND '1997-06-30'::timestamp
+      AND (l.l_returnflag = 'R' OR l.l_linestatus = 'O') AND o.o_orderpriority LIKE '1%' AND o.o_orderstatus IN ('F', 'O')"""
+    return bound.estimate(spark, text, _tables(spark, sf), driver_schema(), bins=64)
+
+
+NARY = "SELECT COUNT(*) FROM customer c, supplier s, nation n WHERE c.c_nationkey = n.n_nationkey AND s.s_nationkey = n.n_nationkey AND c.c_acctbal > 0"
+
+
+@query("""WITH c AS (SELECT k % 8 AS b, SUM(n) AS p, MAX(n) AS v FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1) GROUP BY 1),
+s AS (SELECT k % 8 AS b, SUM(n) AS p, MAX(n) AS v FROM (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier GROUP BY 1) GROUP BY 1),
+t AS (SELECT k % 8 AS b, SUM(n) AS p, MAX(n) AS v FROM (SELECT n_nationkey AS k, COUNT(*) AS n FROM nation GROUP BY 1) GROUP BY 1)
+SELECT CAST(SUM(LEAST(c.p * s.v * t.v, s.p * c.v * t.v, t.p * c.v * s.v)) AS DOUBLE) AS bound FROM c JOIN s USING (b) JOIN t USING (b)""")
+def bound_nary_group(spark, sf):
+    return bound.estimate(spark, NARY, _tables(spark, sf), driver_schema(), bins=8)
+
+
+CHAIN = "SELECT COUNT(*) FROM lineitem l, orders o, customer c WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_mktsegment = 'BUILDING'"
+
+
+def _chain_sql(scaled: bool) -> str:
+    """The customer group goes first, then the order group."""
+    fan = "LEAST(c.p, c.v)" if scaled else "1"
+    agg = "SUM" if scaled else "MAX"
+    return f"""WITH r AS (SELECT o_custkey AS k0, o_orderkey AS k1, o_custkey % 16 AS b0, o_orderkey % 16 AS b1 FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL),
+o AS (SELECT * FROM (SELECT b0, b1, COUNT(*) AS p FROM r GROUP BY 1, 2) JOIN (SELECT b0, b1, MAX(n) AS v0 FROM (SELECT b0, b1, k0, COUNT(*) AS n FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (b0, b1)
+  JOIN (SELECT b0, b1, MAX(n) AS v1 FROM (SELECT b0, b1, k1, COUNT(*) AS n FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (b0, b1)),
+c AS (SELECT k % 16 AS b0, SUM(n) AS p, MAX(n) AS v FROM (SELECT c_custkey AS k, COUNT(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1) GROUP BY 1),
+x AS (SELECT b1, SUM(LEAST(o.p * LEAST(c.p, c.v), c.p * LEAST(o.p, o.v0))) AS p, {agg}(o.v1 * {fan}) AS m FROM o JOIN c USING (b0) GROUP BY 1),
+l AS (SELECT k % 16 AS b1, SUM(n) AS p, MAX(n) AS v FROM (SELECT l_orderkey AS k, COUNT(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1)
+SELECT CAST(SUM(LEAST(x.p * l.v, l.p * LEAST(x.p, x.m))) AS DOUBLE) AS bound FROM x JOIN l USING (b1)"""
+
+
+@query(_chain_sql(True))
+def bound_chain(spark, sf):
+    return bound.estimate(spark, CHAIN, _tables(spark, sf), driver_schema(), bins=16)
+
+
+@query(_chain_sql(False))
+def bound_chain_unscaled(spark, sf):
+    return bound.estimate(spark, CHAIN, _tables(spark, sf), driver_schema(), bins=16, rule="unscaled")
+
+
+STAR = "SELECT COUNT(*) FROM lineitem l, part p, supplier s WHERE l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey AND p.p_size <= 25"
+
+
+@query("SELECT COUNT(*) AS true_count, true AS is_bound FROM lineitem, part, supplier WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND p_size <= 25")
+def bound_star(spark, sf):
+    register(spark, sf, ["lineitem", "part", "supplier"])
+    e = bound.estimate(spark, STAR, bins=16)
+    return bound.true_count(spark, STAR).crossJoin(e).select("true_count", (F.col("bound") >= F.col("true_count")).alias("is_bound"))  # a row each
+
+
+CYCLE = """SELECT COUNT(*) FROM lineitem l, orders o, customer c, supplier s WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey
+  AND l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey"""
+
+
+@query("SELECT COUNT(*) AS true_count, true AS is_bound FROM lineitem, orders, customer, supplier WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey")
+def bound_cyclic(spark, sf):
+    register(spark, sf, ["lineitem", "orders", "customer", "supplier"])
+    e = bound.estimate(spark, CYCLE, bins=16)
+    return bound.true_count(spark, CYCLE).crossJoin(e).select("true_count", (F.col("bound") >= F.col("true_count")).alias("is_bound"))  # a row each
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1), a AS (SELECT k % 16 AS b, SUM(n) AS p, MAX(n) AS v FROM o GROUP BY 1)
+SELECT CAST(SUM(p * v) AS DOUBLE) AS bound FROM a""")
+def bound_self_join(spark, sf):
+    return bound.estimate(spark, "SELECT COUNT(*) FROM orders a, orders b WHERE a.o_custkey = b.o_custkey", _tables(spark, sf), driver_schema(), bins=16)
+
+
+@query("""WITH c AS (SELECT k % 8 AS b, SUM(n) AS p, MAX(n) AS v FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY 1) GROUP BY 1),
+s AS (SELECT k % 8 AS b, SUM(n) AS p, MAX(n) AS v FROM (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier GROUP BY 1) GROUP BY 1),
+t AS (SELECT k % 8 AS b, SUM(n) AS p, MAX(n) AS v FROM (SELECT n_nationkey AS k, COUNT(*) AS n FROM nation GROUP BY 1) GROUP BY 1)
+SELECT 'c n' AS aliases, CAST(SUM(LEAST(c.p * t.v, t.p * c.v)) AS DOUBLE) AS bound FROM c JOIN t USING (b)
+UNION ALL SELECT 'n s', CAST(SUM(LEAST(s.p * t.v, t.p * s.v)) AS DOUBLE) FROM s JOIN t USING (b)
+UNION ALL SELECT 'c s', CAST(SUM(LEAST(s.p * c.v, c.p * s.v)) AS DOUBLE) FROM s JOIN c USING (b)
+UNION ALL SELECT 'c n s', CAST(SUM(LEAST(c.p * s.v * t.v, s.p * c.v * t.v, t.p * c.v * s.v)) AS DOUBLE) FROM c JOIN s USING (b) JOIN t USING (b)""")
+def subplan_bounds(spark, sf):
+    text = "SELECT COUNT(*) FROM customer c, supplier s, nation n WHERE c.c_nationkey = n.n_nationkey AND s.s_nationkey = n.n_nationkey"
+    return bound.subplan_bounds(spark, text, _tables(spark, sf), bins=8)
+
+
+@query("SELECT COUNT(*) AS true_count FROM lineitem, orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
+def true_cardinality_chain(spark, sf):
+    register(spark, sf, ["lineitem", "orders", "customer"])
+    return bound.true_count(spark, CHAIN)
+
+
+@query("SELECT COUNT(*) AS n FROM lineitem, orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
+def advised_join_order(spark, sf):
+    """The chain query in the order that the bounds advise."""
+    from joinlens.plans import planner
+
+    q = parse(CHAIN, driver_schema())
+    tables = _tables(spark, sf)
+    rows = {frozenset(r["aliases"].split()): r["bound"] for r in bound.subplan_bounds(spark, CHAIN, tables, bins=32).collect()}
+    names, _ = planner.best_order(q, lambda s: rows.get(s, 0.0))
+    return planner.ordered_join(q, tables, names).agg(F.count("*").alias("n"))
+
+
+def _kernel_rows(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES (0, 4, 2, 2, 1), (1, 0, 1, 5, 1), (2, 6, 3, 3, 3) AS t(bin, p1, v1, p2, v2)")
+
+
+@query("""SELECT bin, CAST(LEAST(p1 * LEAST(p2, v2), p2 * LEAST(p1, v1)) AS BIGINT) AS out, CAST(LEAST(p1, v1) * LEAST(p2, v2) AS BIGINT) AS mode
+FROM (VALUES (0, 4, 2, 2, 1), (1, 0, 1, 5, 1), (2, 6, 3, 3, 3)) t(bin, p1, v1, p2, v2)""")
+def bound_kernel(spark, sf):
+    p, v = [F.col("p1"), F.col("p2")], [F.col("v1"), F.col("v2")]
+    return _kernel_rows(spark).select("bin", bound.kernel(p, v).cast("bigint").alias("out"), (F.least("p1", "v1") * F.least("p2", "v2")).cast("bigint").alias("mode"))
+
+
+# Evaluation
+
+
+@query("""WITH e AS (SELECT c_custkey, COUNT(o_orderkey) AS truth, (SELECT COUNT(*) * 1.0 / (SELECT COUNT(*) FROM customer) FROM orders) AS estimate FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1),
+q AS (SELECT GREATEST(GREATEST(estimate, 1) / GREATEST(truth, 1), GREATEST(truth, 1) / GREATEST(estimate, 1)) AS q FROM e)
+SELECT ROUND(quantile_cont(q, 0.5), 6) AS p50, ROUND(quantile_cont(q, 0.9), 6) AS p90, ROUND(quantile_cont(q, 0.95), 6) AS p95, ROUND(quantile_cont(q, 0.99), 6) AS p99, ROUND(MAX(q), 6) AS p100 FROM q""")
+def qerror_percentiles(spark, sf):
+    c, o = load(spark, sf, "customer"), load(spark, sf, "orders")
+    guess = o.count() / max(1, c.count())
+    rows = c.join(o, c.c_custkey == o.o_custkey, "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("truth")).withColumn("estimate", F.lit(guess))
+    return _rounded(evaluate.q_error_percentiles(rows), "p50", "p90", "p95", "p99", "p100")
+
+
+# Networks and factors
+
+
+@query("""SELECT 'l_quantity' AS column_name, COUNT(DISTINCT l_quantity) AS n_distinct, 'categorical' AS kind FROM lineitem
+UNION ALL SELECT 'l_linestatus', COUNT(DISTINCT l_linestatus), CASE WHEN COUNT(DISTINCT l_linestatus) = 2 THEN 'boolean' ELSE 'categorical' END FROM lineitem
+UNION ALL SELECT 'l_shipdate', COUNT(DISTINCT l_shipdate), CASE WHEN COUNT(DISTINCT l_shipdate) > 1000 THEN 'continuous' ELSE 'categorical' END FROM lineitem
+UNION ALL SELECT 'l_orderkey', COUNT(DISTINCT l_orderkey), 'categorical' FROM lineitem""")
+def attr_types(spark, sf):
+    return bayes.attribute_types(load(spark, sf, "lineitem"), ["l_quantity", "l_linestatus", "l_shipdate", "l_orderkey"], keys=["l_orderkey"])
+
+
+@query("""WITH n AS (SELECT p_brand AS value, COUNT(*) AS n FROM part GROUP BY 1), t AS (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) - 1 AS code FROM n QUALIFY code < 5),
+r AS (SELECT * FROM n WHERE value NOT IN (SELECT value FROM t)),
+p AS (SELECT value, n, 5 + FLOOR(COALESCE(SUM(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 4 / SUM(n) OVER ()) AS code FROM r),
+a AS (SELECT value, n, CAST(code AS INT) AS code FROM t UNION ALL SELECT value, n, CAST(code AS INT) FROM p)
+SELECT value, n, code, ROUND(n * 1.0 / SUM(n) OVER (PARTITION BY code), 6) AS share FROM a""")
+def mcv_encoding(spark, sf):
+    return _rounded(bayes.common_value_codes(load(spark, sf, "part"), "p_brand", common=5, bins=4), "share")
+
+
+@query("""WITH e AS (SELECT quantile_cont(o_totalprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM orders)
+SELECT CAST(len(list_filter(q[2:10], lambda x: x <= o_totalprice)) AS INT) AS bin, COUNT(*) AS n FROM orders, e GROUP BY 1""")
+def quantile_bins(spark, sf):
+    o = load(spark, sf, "orders")
+    return o.groupBy(bayes.interval_bin(F.col("o_totalprice"), bayes.quantile_edges(o, "o_totalprice", 10)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT id, ROUND(CASE WHEN b = a THEN CASE WHEN a BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END ELSE GREATEST(0, LEAST(hi, b) - GREATEST(lo, a)) / (b - a) END, 6) AS coverage
+FROM (VALUES (1, 0.0, 10.0, 0.0, 10.0), (2, 2.0, 4.0, 0.0, 10.0), (3, -5.0, 5.0, 0.0, 10.0), (4, 11.0, 12.0, 0.0, 10.0), (5, 9.0, 99.0, 0.0, 10.0), (6, 0.0, 3.0, 3.0, 3.0)) t(id, lo, hi, a, b)""")
+def range_coverage(spark, sf):
+    rows = spark.sql("SELECT id, cast(lo as double) lo, cast(hi as double) hi, cast(a as double) a, cast(b as double) b FROM VALUES (1, 0.0, 10.0, 0.0, 10.0), (2, 2.0, 4.0, 0.0, 10.0), (3, -5.0, 5.0, 0.0, 10.0), (4, 11.0, 12.0, 0.0, 10.0), (5, 9.0, 99.0, 0.0, 10.0), (6, 0.0, 3.0, 3.0, 3.0) AS t(id, lo, hi, a, b)")
+    return rows.select("id", F.round(bayes.interval_coverage(F.col("lo"), F.col("hi"), F.col("a"), F.col("b")), 6).alias("coverage"))
+
+
+def _mi_sql(a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS a, '{b}' AS b, ROUND(SUM(n * 1.0 / t * LN(n * 1.0 * t / (nx * ny))), 6) AS mi FROM (
+  SELECT n, SUM(n) OVER () AS t, SUM(n) OVER (PARTITION BY x) AS nx, SUM(n) OVER (PARTITION BY y) AS ny FROM (SELECT {a} AS x, {b} AS y, COUNT(*) AS n FROM lineitem GROUP BY 1, 2))"""
+
+
+_MI = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"]
+
+
+@query(" UNION ALL ".join(_mi_sql(a, b) for i, a in enumerate(_MI) for b in _MI[i + 1 :]))
+def pairwise_mi(spark, sf):
+    return _rounded(bayes.mutual_information(bayes.pair_counts(load(spark, sf, "lineitem"), _MI)), "mi")
+
+
+@query()
+def chow_liu_tree(spark, sf):
+    tree = bayes.structure(load(spark, sf, "lineitem"), _MI)
+    return spark.createDataFrame(sorted((c, p) for c, p in tree.items()), "child string, parent string")
+
+
+_CELLS = "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY 1, 2"
+_GRID = f"SELECT a.l_returnflag, b.l_linestatus, COALESCE(n, 0) AS n FROM (SELECT DISTINCT l_returnflag FROM lineitem) a CROSS JOIN (SELECT DISTINCT l_linestatus FROM lineitem) b LEFT JOIN ({_CELLS}) c ON c.l_returnflag = a.l_returnflag AND c.l_linestatus = b.l_linestatus"
+
+
+@query(f"SELECT l_returnflag, l_linestatus, ROUND(n * 1.0 / SUM(n) OVER (PARTITION BY l_returnflag), 6) AS value FROM ({_CELLS})")
+def cpd_mle(spark, sf):
+    return _rounded(bayes.cpd(load(spark, sf, "lineitem"), "l_linestatus", "l_returnflag"), "value")
+
+
+@query(f"SELECT l_returnflag, l_linestatus, ROUND((n + 1.0) / SUM(n + 1) OVER (PARTITION BY l_returnflag), 6) AS value FROM ({_GRID})")
+def cpd_k2(spark, sf):
+    return _rounded(bayes.cpd(load(spark, sf, "lineitem"), "l_linestatus", "l_returnflag", alpha=1.0), "value")
+
+
+@query(f"WITH g AS (SELECT *, 5.0 / COUNT(*) OVER () AS a FROM ({_GRID})) SELECT l_returnflag, l_linestatus, ROUND((n + a) / SUM(n + a) OVER (PARTITION BY l_returnflag), 6) AS value FROM g")
+def cpd_bdeu(spark, sf):
+    return _rounded(bayes.cpd_bdeu(load(spark, sf, "lineitem"), "l_linestatus", "l_returnflag"), "value")
+
+
+@query("""WITH f AS (SELECT l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT ROUND(SUM(f.n * 1.0 / (SELECT COUNT(*) FROM lineitem) * c.n / f.n), 6) AS probability FROM c JOIN f USING (l_returnflag) WHERE l_linestatus = 'O' AND l_returnflag IN ('A', 'R')""")
+def network_probability(spark, sf):
+    df = load(spark, sf, "lineitem")
+    tree = {"l_returnflag": None, "l_linestatus": "l_returnflag", "l_linenumber": "l_returnflag"}
+    w = {"l_linestatus": spark.sql("SELECT 'O' AS state, 1.0D AS weight"), "l_returnflag": spark.sql("SELECT * FROM VALUES ('A', 1.0D), ('R', 1.0D) AS t(state, weight)")}
+    return _rounded(bayes.tree_probability(df, tree, w), "probability")
+
+
+def _two_factors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    df = load(spark, sf, "lineitem")
+    return factors.counts(df, ["l_returnflag", "l_linestatus"]), factors.counts(df, ["l_linestatus", "l_linenumber"])
+
+
+_A = "SELECT l_returnflag, l_linestatus, COUNT(*) * 1.0 AS v FROM lineitem GROUP BY 1, 2"
+_B = "SELECT l_linestatus, l_linenumber, COUNT(*) * 1.0 AS w FROM lineitem GROUP BY 1, 2"
+
+
+@query(f"SELECT l_returnflag, l_linestatus, l_linenumber, CAST(v * w AS DOUBLE) AS value FROM ({_A}) JOIN ({_B}) USING (l_linestatus)")
+def factor_product(spark, sf):
+    return factors.product(*_two_factors(spark, sf))
+
+
+@query(f"SELECT l_returnflag, l_linestatus, l_linenumber, CAST(v + w AS DOUBLE) AS value FROM ({_A}) JOIN ({_B}) USING (l_linestatus)")
+def factor_sum(spark, sf):
+    return factors.total(*_two_factors(spark, sf))
+
+
+@query(f"SELECT l_returnflag, l_linestatus, l_linenumber, ROUND(CAST(v AS DOUBLE) / w, 6) AS value FROM ({_A}) JOIN ({_B}) USING (l_linestatus)")
+def factor_divide(spark, sf):
+    return _rounded(factors.divide(*_two_factors(spark, sf)), "value")
+
+
+@query(f"SELECT l_linestatus, CAST(SUM(v) AS DOUBLE) AS value FROM ({_A}) GROUP BY 1")
+def factor_marginalize(spark, sf):
+    return factors.marginalize(_two_factors(spark, sf)[0], ["l_returnflag"])
+
+
+@query(f"SELECT l_linestatus, CAST(MAX(v) AS DOUBLE) AS value FROM ({_A}) GROUP BY 1")
+def factor_maximize(spark, sf):
+    return factors.maximize(_two_factors(spark, sf)[0], ["l_returnflag"])
+
+
+@query(f"SELECT l_returnflag, CAST(v AS DOUBLE) AS value FROM ({_A}) WHERE l_linestatus = 'O'")
+def factor_reduce(spark, sf):
+    return factors.reduce(_two_factors(spark, sf)[0], {"l_linestatus": "O"})
+
+
+@query(f"SELECT l_returnflag, l_linestatus, ROUND(CAST(v AS DOUBLE) / SUM(v) OVER (), 6) AS value FROM ({_A})")
+def factor_normalize(spark, sf):
+    return _rounded(factors.normalize(_two_factors(spark, sf)[0]), "value")
+
+
+@query(f"SELECT CAST(SUM(v * w) AS DOUBLE) AS partition FROM ({_A}) JOIN ({_B}) USING (l_linestatus)")
+def partition_function(spark, sf):
+    return factors.partition_function(list(_two_factors(spark, sf)))
+
+
+@query("""WITH j AS (SELECT l_returnflag AS x, l_linestatus AS y, COUNT(*) * 1.0 / (SELECT COUNT(*) FROM lineitem) AS p FROM lineitem GROUP BY 1, 2),
+a AS (SELECT x, SUM(p) AS px FROM j GROUP BY 1), b AS (SELECT y, SUM(p) AS py FROM j GROUP BY 1)
+SELECT ROUND(MAX(ABS(COALESCE(p, 0) - px * py)), 6) AS gap FROM a CROSS JOIN b LEFT JOIN j ON j.x = a.x AND j.y = b.y""")
+def independence_check(spark, sf):
+    joint = factors.counts(load(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"])
+    return _rounded(factors.independence_gap(joint, "l_returnflag", "l_linestatus"), "gap")
+
+
+_CHI = """WITH c AS (SELECT {z} AS z, l_returnflag AS x, l_linestatus AS y, COUNT(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+x AS (SELECT z, x, SUM(n) AS nx FROM c GROUP BY 1, 2), y AS (SELECT z, y, SUM(n) AS ny FROM c GROUP BY 1, 2), t AS (SELECT z, SUM(n) AS t, COUNT(DISTINCT x) AS kx, COUNT(DISTINCT y) AS ky FROM c GROUP BY 1)
+SELECT ROUND(SUM((COALESCE(n, 0) - nx * 1.0 * ny / t) ** 2 / (nx * 1.0 * ny / t)), 4) AS statistic, (SELECT CAST(SUM((kx - 1) * (ky - 1)) AS BIGINT) FROM t) AS dof
+FROM x JOIN y USING (z) JOIN t USING (z) LEFT JOIN c USING (z, x, y)"""
+
+
+@query(_CHI.format(z="0"))
+def chi_square_stat(spark, sf):
+    return independence.chi_square(load(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").withColumn("statistic", F.round("statistic", 4))
+
+
+@query(_CHI.format(z="l_linenumber"))
+def ci_chi_square(spark, sf):
+    return independence.chi_square(load(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", ["l_linenumber"]).withColumn("statistic", F.round("statistic", 4))
+
+
+@query("SELECT ROUND(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def pearson_r(spark, sf):
+    return _rounded(independence.partial_correlation(load(spark, sf, "lineitem"), "l_quantity", "l_extendedprice"), "r")
+
+
+@query("""WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem)
+SELECT ROUND((xy - xz * yz) / SQRT((1 - xz * xz) * (1 - yz * yz)), 6) AS r FROM c""")
+def partial_correlation(spark, sf):
+    return _rounded(independence.partial_correlation(load(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_discount"), "r")
+
+
+_COV = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ROUND(covar_samp({a}, {b}), 6) AS covariance FROM lineitem" for i, a in enumerate(_COV) for b in _COV[i:]))
+def cov_matrix(spark, sf):
+    return _rounded(independence.covariance_matrix(load(spark, sf, "lineitem"), _COV), "covariance")
+
+
+@query("SELECT ROUND(regr_slope(l_extendedprice, l_quantity), 4) AS slope, ROUND(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
+def linear_gaussian_fit(spark, sf):
+    df = independence.linear_fit(load(spark, sf, "lineitem"), "l_extendedprice", "l_quantity")
+    return df.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+# Samples and updates
+
+
+@query("SELECT CAST(o_custkey % 10 AS INT) AS bin, CAST(COUNT(*) * 10.0 AS DOUBLE) AS mass FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus = 'F' GROUP BY 1")
+def sample_factor_scaled(spark, sf):
+    o = load(spark, sf, "orders")
+    s = sampling.modulo_sample(o, "o_orderkey", 10, rows=o.count())
+    counts = sampling.binned_counts(s.df, "o_orderstatus = 'F'", {"o_custkey": binning.modulo_bin(F.col("o_custkey"), 10)})
+    return _rounded(sampling.scaled_factor(counts, s.rate, o.count()), "mass")
+
+
+@query("SELECT part, COUNT(*) AS n, MIN(o_orderdate) AS first_date FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'before' ELSE 'after' END AS part, o_orderdate FROM orders) GROUP BY 1")
+def split_by_date(spark, sf):
+    before, after = update.split_by_time(load(spark, sf, "orders"), "o_orderdate", "1998-01-01")
+    return before.withColumn("part", F.lit("before")).unionByName(after.withColumn("part", F.lit("after"))).groupBy("part").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first_date"))
+
+
+_MODE = "SELECT k % 12 AS bin, MAX(n) AS v FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE {w} GROUP BY 1) GROUP BY 1"
+
+
+@query(f"""WITH o AS ({_MODE.format(w="o_orderdate < TIMESTAMP '1998-01-01'")}), n AS ({_MODE.format(w="o_orderdate >= TIMESTAMP '1998-01-01'")})
+SELECT CAST(bin AS INT) AS bin, CAST(CASE WHEN COALESCE(o.v, 0) <= 10 THEN GREATEST(COALESCE(o.v, 0), COALESCE(n.v, 0)) ELSE o.v + 0.5 * COALESCE(n.v, 0) END AS DOUBLE) AS mfv FROM o FULL JOIN n USING (bin)""")
+def update_mode_merge(spark, sf):
+    old, new = update.split_by_time(load(spark, sf, "orders"), "o_orderdate", "1998-01-01")
+    stats = [binning.bin_statistics(binning.key_counts(d, "o_custkey"), binning.modulo_bin(F.col("value"), 12)) for d in (old, new)]
+    return update.merge_modes(*stats)
+
+
+@query("SELECT CAST(k % 12 AS INT) AS bin, MAX(n) AS mfv FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1) GROUP BY 1")
+def update_mode_exact(spark, sf):
+    old, new = update.split_by_time(load(spark, sf, "orders"), "o_orderdate", "1998-01-01")
+    counts = update.merge_counts(*(binning.key_counts(d, "o_custkey") for d in (old, new)))
+    return binning.bin_statistics(counts, binning.modulo_bin(F.col("value"), 12)).select("bin", "mfv")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, ROUND(COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY o_orderstatus), 6) AS value FROM orders GROUP BY 1, 2")
+def update_cpd_counts(spark, sf):
+    names = ["o_orderstatus", "o_orderpriority"]
+    old, new = update.split_by_time(load(spark, sf, "orders"), "o_orderdate", "1998-01-01")
+    merged = update.merge_cpd_counts(factors.counts(old, names), factors.counts(new, names), names)
+    return _rounded(factors.conditional(merged, ["o_orderstatus"]), "value")
+
+
+# Aggregate queries
+
+
+@query("SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS result FROM lineitem WHERE l_quantity < 24 AND l_discount BETWEEN 0.03 AND 0.07")
+def aqp_sum_product(spark, sf):
+    register(spark, sf, ["lineitem"])
+    return aggregates.run(spark, "SELECT SUM(l_extendedprice * l_discount) FROM lineitem WHERE l_quantity < 24 AND l_discount BETWEEN 0.03 AND 0.07", driver_schema()).select(F.round("result", 2).alias("result"))
+
+
+@query("SELECT o_orderpriority, ROUND(AVG(o_totalprice), 2) AS result FROM orders, customer WHERE o_custkey = c_custkey AND c_mktsegment = 'MACHINERY' GROUP BY 1")
+def aqp_group_by(spark, sf):
+    register(spark, sf, ["orders", "customer"])
+    out = aggregates.run(spark, "SELECT o_orderpriority, AVG(o_totalprice) FROM orders o, customer AS c WHERE o.o_custkey = c.c_custkey AND c_mktsegment = 'MACHINERY' GROUP BY o_orderpriority", driver_schema())
+    return out.withColumn("result", F.round("result", 2))
+
+
+@query("SELECT ROUND(SUM(l_extendedprice) - SUM(l_tax), 2) AS result FROM lineitem")
+def aqp_difference(spark, sf):
+    register(spark, sf, ["lineitem"])
+    return aggregates.run(spark, "SELECT SUM(l_extendedprice) - SUM(l_tax) FROM lineitem", driver_schema()).select(F.round("result", 2).alias("result"))
+
+
+@query("SELECT ROUND(SUM(CASE WHEN l_returnflag = 'R' AND l_linestatus IN ('F', 'O') THEN 1.1 ELSE 1 END * l_extendedprice), 2) AS scaled FROM lineitem")
+def what_if_scale(spark, sf):
+    s = parse_what_if("WHAT IF l_returnflag = 'R' AND l_linestatus IN ('F', 'O') INCREASE BY 10%")
+    return aggregates.what_if(load(spark, sf, "lineitem"), s, "l_extendedprice").select(F.round("scaled", 2).alias("scaled"))
+
+
+@query("""SELECT MIN(p_name) AS first_name, MIN(l_extendedprice) AS least_price FROM lineitem, part, supplier WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND (p_type LIKE '%STEEL%' OR p_brand IN ('Brand#12', 'Brand#23'))
+AND p_name NOT LIKE 'z%' AND l_quantity BETWEEN 5 AND 30 AND s_acctbal IS NOT NULL AND l_linenumber <> 3""")
+def jobstyle_min_like_in_between(spark, sf):
+    register(spark, sf, ["lineitem", "part", "supplier"])
+    q = parse("""SELECT MIN(p.p_name), MIN(l.l_extendedprice) FROM lineitem AS l, part AS p, supplier AS s WHERE l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey
+      AND (p.p_type LIKE '%STEEL%' OR p.p_brand IN ('Brand#12', 'Brand#23')) AND p.p_name NOT LIKE 'z%' AND l.l_quantity BETWEEN 5 AND 30 AND s.s_acctbal IS NOT NULL AND l.l_linenumber != 3""", driver_schema())
+    return spark.sql(q.sql("MIN(p.p_name) AS first_name, MIN(l.l_extendedprice) AS least_price"))
+
+
+@query("SELECT c_nationkey, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 3")
+def top_values_per_group(spark, sf):
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return load(spark, sf, "customer").withColumn("r", F.row_number().over(w)).where("r <= 3").select("c_nationkey", "c_custkey", "c_acctbal")
+
+
+# Encodings
+
+
+@query("SELECT o_orderkey, CAST(epoch(o_orderdate) - epoch(TIMESTAMP '2010-07-19 00:00:00') AS BIGINT) AS seconds FROM orders")
+def epoch_seconds(spark, sf):
+    return load(spark, sf, "orders").select("o_orderkey", encode.epoch_seconds(F.col("o_orderdate")).alias("seconds"))
+
+
+@query("SELECT * FROM (VALUES ('I', 1), ('IV', 4), ('IX', 9), ('XIV', 14), ('XL', 40), ('MCMXCIV', 1994), ('12', 12), ('abc', NULL)) t(text, number)")
+def roman_to_int(spark, sf):
+    return spark.sql("SELECT * FROM VALUES ('I'), ('IV'), ('IX'), ('XIV'), ('XL'), ('MCMXCIV'), ('12'), ('abc') AS t(text)").select("text", encode.roman_to_int(F.col("text")).alias("number"))
+
+
+@query("SELECT * FROM (VALUES ('A1', 1), ('B52', 152), ('Z625', 25625), ('x', NULL)) t(text, number)")
+def phonetic_to_int(spark, sf):
+    return spark.sql("SELECT * FROM VALUES ('A1'), ('B52'), ('Z625'), ('x') AS t(text)").select("text", encode.phonetic_to_int(F.col("text")).cast("int").alias("number"))
+
+
+@query("SELECT * FROM (VALUES ('1994-1998', 19941998), ('????-2001', 10002001), ('1990-????', 19909999), ('????-????', 10009999), ('x', 0)) t(text, number)")
+def series_years_to_int(spark, sf):
+    return spark.sql("SELECT * FROM VALUES ('1994-1998'), ('????-2001'), ('1990-????'), ('????-????'), ('x') AS t(text)").select("text", encode.series_years_to_int(F.col("text")).cast("int").alias("number"))
+
+
+WORKLOAD = [TWO_WAY, NARY, CHAIN, STAR]
+
+
+@query("SELECT * FROM (VALUES ('customer.c_custkey', 1), ('lineitem.l_orderkey', 2), ('lineitem.l_partkey', 1), ('lineitem.l_suppkey', 1), ('customer.c_nationkey', 1)) t(key_group, joins)")
+def workload_key_budget(spark, sf):
+    """How many queries of a workload join in each key group; the group is named by its smallest key."""
+    groups = {m: g[0] for g in driver_schema().key_groups() for m in g}
+    used = []
+    for text in WORKLOAD:
+        q = parse(text, driver_schema())
+        used += sorted({".".join(groups[(q.aliases[a], c)]) for g in q.key_groups() for a, c in g})
+    rows = spark.createDataFrame([(u,) for u in used], "key_group string")
+    return rows.groupBy("key_group").agg(F.count("*").cast("int").alias("joins"))
