@@ -216,7 +216,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
 
     # Only the representatives of classes that are in a pair are read in full again.
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = wanted.join(nodes.select("node", "n", "h1", "h2"), "node")
+    wanted = saved(wanted.join(nodes.select("node", "n"), "node"), "wanted")
     texts = docs.join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = saved(texts.select("doc_id", "text").mapInArrow(_full_sets, "node long, shingles binary").distinct(), "shingles")
     size = wanted.select(F.col("node").alias("u"), F.col("n").alias("nu")), wanted.select(F.col("node").alias("v"), F.col("n").alias("nv"))
