@@ -100,27 +100,37 @@ def place(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[i
     the number of sequences. Windows with the same room are interchangeable, so runs are placed at once.
     """
     tree, open_runs, out, used = RoomTree(window), {}, [], 0
+
+    def reopen(room: int, first: int, n: int) -> None:
+        if room and n:
+            open_runs.setdefault(room, []).append((first, n))
+            tree.add(room, 1)
+
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
             room = tree.tightest(length)
             if room is None:
-                first, n, offset = used, left, 0
+                room, first = window, used
+                n = -(-left // (window // length))
                 used += n
-                room = window
             else:
                 first, n = open_runs[room].pop()
                 tree.add(room, -1)
-                offset = window - room
-                if n > left:
-                    open_runs[room].append((first + left, n - left))
-                    tree.add(room, 1)
-                    n = left
-            out.append((length, rank, n, first, offset))
-            if room > length:
-                open_runs.setdefault(room - length, []).append((first, n))
-                tree.add(room - length, 1)
-            rank, left = rank + n, left - n
+            # The tightest window stays the tightest until no further piece of this length fits into it.
+            each = room // length
+            full = min(n, left // each)
+            more = min(left - full * each, each - 1) if full < n else 0
+            for slot in range(each):
+                count = full + (slot < more)
+                if count:
+                    out.append((length, rank, count, first, window - room + slot * length))
+                    rank += count
+            left -= full * each + more
+            reopen(room - each * length, first, full)
+            if more:
+                reopen(room - more * length, first + full, 1)
+            reopen(room, first + full + (more > 0), n - full - (more > 0))
     return out, used
 
 
