@@ -156,3 +156,27 @@ def tree_probability(df: DataFrame, tree: dict[str, str | None], weights: dict[s
         else:
             return f.select(F.coalesce("value", F.lit(0.0)).alias("probability"))
     return df.sparkSession.range(1).select(F.lit(1.0).alias("probability"))
+
+
+def key_distribution(df: DataFrame, tree: dict[str, str | None], weights: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """The keys' columns and value = P(keys, filter) by the network: the product of the tables that the keys and filters need, all else summed out."""
+    needed = {*weights, *keys}
+    for c in list(needed):
+        while tree[c] is not None:  # up to the root; other branches sum to one
+            c = tree[c]
+            needed.add(c)
+    parts = []
+    for c in sorted(needed):
+        f = cpd(df, c, tree[c])
+        if c in weights:
+            f = factors.product(f, weights[c].select(F.col(weights[c].columns[0]).alias(c), F.col("weight").alias("value")))
+        parts.append(f)
+    rest = [c for c in sorted(needed, key=lambda c: -_depth(tree, c)) if c not in keys]  # leaves first
+    return factors.product_all(factors.marginalize_set(parts, rest)).select(*keys, "value")
+
+
+def _depth(tree: dict[str, str | None], c: str) -> int:
+    n = 0
+    while tree[c] is not None:
+        c, n = tree[c], n + 1
+    return n

@@ -125,6 +125,29 @@ def combine(factors: list[Factor], rule: str = "scaled") -> DataFrame:
     return out.select(F.col("mass").alias("bound"))
 
 
+def scaled(factor: Factor, rate: float, rows: int | None = None) -> Factor:
+    """A sample's factor as one of its whole table: masses grow by the rate, at most to the table's rows. Modes of a sample grow too where a value occurred more than once."""
+    if rate >= 1:
+        return factor
+    grown = factor.df.withColumn("mass", F.col("mass") / rate)
+    for g in factor.groups:
+        m = F.col(f"mode_{g}")
+        grown = grown.withColumn(f"mode_{g}", F.least(F.col("mass"), F.when(m > 1, m / rate).otherwise(m)))
+    if rows is not None:
+        whole = grown.agg(F.sum("mass").alias("__whole"))
+        grown = grown.crossJoin(whole).withColumn("mass", F.col("mass") * F.least(F.lit(1.0), F.lit(float(rows)) / F.col("__whole"))).drop("__whole")  # a row
+    return Factor(grown, factor.groups, factor.members)
+
+
+def estimate_from_samples(query: Query, samples: dict[str, tuple[DataFrame, float]], bins: int = 64, rule: str = "scaled") -> DataFrame:
+    """bound: an estimate, no longer an upper bound, from (sample, rate) of each table."""
+    out = []
+    for f in base_factors(query, lambda name: samples[name][0], bins):
+        (alias,) = f.members
+        out.append(scaled(f, samples[query.aliases[alias]][1]))
+    return combine(out, rule)
+
+
 def base_factors(query: Query, tables: Callable[[str], DataFrame], bins: int = 64, binner: Binner | None = None, only: set[str] | None = None) -> list[Factor]:
     groups = query.key_groups()
     binner = binner or (lambda g, c: modulo_bin(c, bins))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joinlens.functions import encode
-from joinlens.operators import aggregates, bayes, binning, bound, evaluate, factors, independence, sampling
+from joinlens.operators import aggregates, bayes, binning, bound, evaluate, factors, independence, predicates, sampling
 from joinlens.plans.parser import parse, parse_what_if
 from joinlens.schema import driver_schema, load, register
 from joinlens.streaming import update
@@ -478,6 +478,44 @@ def linear_gaussian_fit(spark, sf):
     return df.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
+_KEYBINS = """SELECT CAST(l_suppkey % 8 AS INT) AS supp, ROUND(COUNT(*) * 1.0 / (SELECT COUNT(*) FROM lineitem), 6) AS value FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1"""
+
+
+@query(_KEYBINS)
+def network_key_bins(spark, sf):
+    """A key's bins together with a filter on its parent: a tree says this exactly."""
+    df = load(spark, sf, "lineitem").select(binning.modulo_bin(F.col("l_suppkey"), 8).alias("supp"), "l_linenumber", "l_returnflag")
+    c = predicates.merge(["l_linenumber IN (1, 2, 9)", "l_linenumber <= 2"])["l_linenumber"]
+    w = spark.createDataFrame(predicates.weights(c, list(range(10))), "state int, weight double")
+    tree = {"l_linenumber": None, "supp": "l_linenumber", "l_returnflag": "l_linenumber"}
+    return _rounded(bayes.key_distribution(df, tree, {"l_linenumber": w}, ["supp"]), "value")
+
+
+@query("""WITH l AS (SELECT k % 16 AS b, SUM(n) * 10.0 AS p, MAX(CASE WHEN n > 1 THEN n * 10.0 ELSE n END) AS v FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1) GROUP BY 1),
+c AS (SELECT k % 16 AS b, SUM(n) AS p, MAX(n) AS v FROM (SELECT c_custkey AS k, COUNT(*) AS n FROM customer GROUP BY 1) GROUP BY 1)
+SELECT CAST(SUM(LEAST(l.p * LEAST(c.p, c.v), c.p * LEAST(l.p, l.v))) AS DOUBLE) AS bound FROM l JOIN c USING (b)""")
+def sampled_estimate(spark, sf):
+    q = parse("SELECT COUNT(*) FROM orders o, customer c WHERE o.o_custkey = c.c_custkey", driver_schema())
+    o = sampling.modulo_sample(load(spark, sf, "orders"), "o_orderkey", 10)
+    return bound.estimate_from_samples(q, {"orders": (o.df, o.rate), "customer": (load(spark, sf, "customer"), 1.0)}, bins=16)
+
+
+@query("SELECT * FROM (VALUES ('o_custkey', 10.0, 30.0, false), ('o_totalprice', 100.0, 50.0, true)) t(column_name, low, high, contradictory)".replace("10.0, 30.0", "CAST(10 AS DOUBLE), CAST(30 AS DOUBLE)").replace("100.0, 50.0", "CAST(100 AS DOUBLE), CAST(50 AS DOUBLE)"))
+def predicate_merge(spark, sf):
+    merged = predicates.merge(["o_custkey >= 10", "o_custkey < 77", "o_custkey BETWEEN 3 AND 30", "o_totalprice > 100", "o_totalprice <= 50"])
+    return spark.createDataFrame([(k, float(c.interval.low), float(c.interval.high), c.contradictory) for k, c in merged.items()], "column_name string, low double, high double, contradictory boolean")
+
+
+@query("SELECT * FROM (VALUES ('c n', 'SELECT COUNT(*) FROM customer AS c, nation AS n WHERE c.c_nationkey = n.n_nationkey'), ('c s', 'SELECT COUNT(*) FROM customer AS c, supplier AS s WHERE c.c_nationkey = s.s_nationkey'), ('n s', 'SELECT COUNT(*) FROM nation AS n, supplier AS s WHERE n.n_nationkey = s.s_nationkey')) t(aliases, sql)")
+def subplan_sql(spark, sf):
+    """Sub-plans of two tables, with the join that only holds through the third."""
+    from joinlens.plans.planner import connected_subsets
+
+    q = parse("SELECT COUNT(*) FROM customer c, supplier s, nation n WHERE c.c_nationkey = n.n_nationkey AND s.s_nationkey = n.n_nationkey", driver_schema())
+    rows = [(" ".join(sorted(s)), q.sql("COUNT(*)", set(s))) for s in connected_subsets(q) if len(s) == 2]
+    return spark.createDataFrame(rows, "aliases string, sql string")
+
+
 # Samples and updates
 
 
