@@ -46,3 +46,15 @@ def test_sql_gives_the_same_rows(spark, name):
     rows = sorted((tuple(r[c] for c in order) for r in got.collect()), key=repr)
     names = list(expected.columns)
     assert rows == sorted((tuple(r[names.index(c)] for c in order) for r in expected.fetchall()), key=repr)
+
+
+def test_stages_take_odd_tables(make, spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "12 34"), (None, "a text with no id at all"), (4, "the same words are here again today"), (4, "the same words are here again today"), (5, "mail a.b9@x.org now, please do " * 400)]
+    for docs in (make(rows).selectExpr("*", "'x' as node", "1L as item_id", "2 as kept"), make(rows).limit(0)):
+        names = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == names
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert {r["doc_id"] for r in out} <= {None, 4, 5}
+    assert not out
