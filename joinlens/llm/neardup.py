@@ -183,7 +183,7 @@ def _keys(nodes: DataFrame, trees: int) -> DataFrame:
 
 
 def _screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree enough."""
+    """Pairs whose signatures agree enough and whose sizes allow it, the smaller set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,12 +192,14 @@ def _screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep = pa.array((a == b).mean(1) >= SCREEN)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
-    sig = nodes.select("node", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"node": "u", "sig": "a"}), "u").join(sig.withColumnsRenamed({"node": "v", "sig": "b"}), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    own = nodes.select("node", "sig", "n")
+    both = pairs.join(own.withColumnsRenamed({"node": "u", "sig": "a", "n": "nu"}), "u").join(own.withColumnsRenamed({"node": "v", "sig": "b", "n": "nv"}), "v")
+    near = both.where(f"100 * least(nu, nv) >= {PERCENT} * greatest(nu, nv)")
+    first = F.col("nu") <= F.col("nv")
+    return near.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("v"), "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +216,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
-    # Only the representatives of classes that are in a pair are read in full again.
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = saved(wanted.join(nodes.select("node", "n"), "node"), "wanted")
-    texts = docs.join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = saved(texts.select("doc_id", "text").mapInArrow(_full_sets, "node long, shingles binary").distinct(), "shingles")
-    size = wanted.select(F.col("node").alias("u"), F.col("n").alias("nu")), wanted.select(F.col("node").alias("v"), F.col("n").alias("nv"))
-    # The smaller set of a pair travels; sizes too unlike to reach the threshold need no comparison.
-    sized = pairs.join(size[0], "u").join(size[1], "v").where(f"100 * least(nu, nv) >= {PERCENT} * greatest(nu, nv)")
-    turned = sized.select(F.when(F.col("nu") <= F.col("nv"), F.col("u")).otherwise(F.col("v")).alias("s"), F.when(F.col("nu") <= F.col("nv"), F.col("v")).otherwise(F.col("u")).alias("t")).distinct()
-    both = turned.join(sets.withColumnsRenamed({"node": "s", "shingles": "a"}), "s").join(sets.withColumnsRenamed({"node": "t", "shingles": "b"}), "t")
-    return saved(both.select(F.col("s").alias("u"), F.col("t").alias("v"), "a", "b").mapInArrow(run, "u long, v long").distinct(), "confirmed")
+    # Only the representatives of classes that are in a pair are read in full again. Of a pair, the smaller set travels twice.
+    wanted = saved(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wanted")
+    texts = docs.join(wanted, "doc_id", "left_semi")
+    sets = saved(texts.select("doc_id", "text").mapInArrow(_full_sets, "node long, shingles binary"), "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
+    return saved(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -243,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         keys = _keys(nodes, trees)
         pairs = _neighbours(keys, near) if near else _unjoined(keys, rows, nodes)
         pairs = saved(_screened(pairs, nodes), "candidates")
-        new = _confirmed(pairs, rows, nodes)
+        new = _confirmed(pairs, rows)
         release(spark)
         links = new if links is None else links.unionByName(new)
     found = saved(components(links), "components")
