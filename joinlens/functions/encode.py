@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPOCH = "2010-07-19 00:00:00"
@@ -36,3 +36,9 @@ def roman_to_int(c: Column) -> Column:
     signed = F.zip_with(numbers, after, lambda a, b: F.when(a < b, -a).otherwise(a))
     total = F.aggregate(signed, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
     return F.when(c.rlike(r"^\d+$"), c.try_cast("int")).when(F.upper(c).rlike("^[IVXLCDM]+$"), total)
+
+
+def dates_to_seconds(df: DataFrame, epoch: str = EPOCH) -> DataFrame:
+    """Every date and timestamp column as seconds since the epoch: a projection, the source stays as it is."""
+    moments = [f.name for f in df.schema.fields if f.dataType.typeName() in ("date", "timestamp", "timestamp_ntz")]
+    return df.withColumns({c: epoch_seconds(F.col(c), epoch) for c in moments})

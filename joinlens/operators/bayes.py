@@ -55,6 +55,20 @@ def common_value_codes(df: DataFrame, column: str, common: int = 30, bins: int =
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("code")))
 
 
+def extend_codes(codes: DataFrame, new: DataFrame, column: str, groups: int = 60) -> DataFrame:
+    """value, n, code after new rows: counts of known values add up; new values get codes behind the known ones, spread over up to ``groups`` by their hash."""
+    fresh = new.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("m"))
+    base = codes.agg((F.coalesce(F.max("code"), F.lit(-1)) + 1).alias("__base"))  # a row
+    both = codes.select("value", "n", "code").join(fresh, "value", "full").crossJoin(base)
+    behind = F.col("__base") + F.pmod(F.crc32(F.col("value").cast("string")), F.lit(groups))
+    return both.select("value", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("code", behind).cast("int").alias("code"))
+
+
+def expectation(df: DataFrame, condition: Column, fanout: Column) -> DataFrame:
+    """expectation: the mean over all rows of a fan-out where a condition holds, 0 elsewhere."""
+    return df.agg(F.avg(F.when(condition, fanout).otherwise(F.lit(0.0))).alias("expectation"))
+
+
 def interval_coverage(low: Column, high: Column, bin_low: Column, bin_high: Column) -> Column:
     """The part of a bin's interval that a range covers, values spread evenly; a bin of one point is in or out."""
     overlap = F.greatest(F.lit(0.0), F.least(high, bin_high) - F.greatest(low, bin_low))

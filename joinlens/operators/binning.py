@@ -219,6 +219,27 @@ def best_start_bins(keys: dict[str, DataFrame], bins: int) -> tuple[str, DataFra
     return best[1], best[2]
 
 
+def fixed_start_bins(keys: dict[str, DataFrame], bins: int, by: str = "rows") -> tuple[str, DataFrame]:
+    """Start from the key that isn't unique and has the most rows, or whose counts vary most; the others' new values go to the nearest bin."""
+    scored = []
+    for name in sorted(keys):
+        r = keys[name].agg(F.sum("n").alias("rows"), F.count("*").alias("values"), F.coalesce(F.var_pop("n"), F.lit(0.0)).alias("variance")).first()
+        unique = (r["values"] or 0) >= 0.99 * (r["rows"] or 0)
+        scored.append((unique, -(r["rows"] or 0) if by == "rows" else -r["variance"], name))
+    start = min(scored)[2]
+    m = equal_frequency_map(keys[start], bins)
+    for name in sorted(keys):
+        if name != start:
+            m = add_unseen(m, keys[name], keys[start])
+    return start, m
+
+
+def workload_budget(uses: dict[str, int], bins: int) -> dict[str, int]:
+    """A share of ``bins`` for each key group by how often the workload joins on it; at least one."""
+    total = sum(uses.values())
+    return {g: max(1, round(bins * n / total)) for g, n in sorted(uses.items())} if total else {}
+
+
 def is_primary_key(df: DataFrame, key: str, share: float = 0.99) -> DataFrame:
     """rows, distinct values, and whether the key is unique but for a hundredth."""
     return df.agg(F.count(key).alias("n_rows"), F.countDistinct(key).alias("n_distinct")).withColumn("is_key", F.col("n_distinct") >= F.lit(share) * F.col("n_rows"))

@@ -116,3 +116,18 @@ def independence_gap(joint: DataFrame, x: str, y: str, given: list[str] | None =
     grid = grid.join(pz, z) if z else grid.crossJoin(pz)
     both = grid.join(p, [x, y, *z], "left")
     return both.agg(F.max(F.abs(F.coalesce("value", F.lit(0.0)) * F.col("pz") - F.col("pxz") * F.col("pyz"))).alias("gap"))
+
+
+def minimal_map(joint: DataFrame, order: list[str], tolerance: float = 1e-6) -> list[tuple[str, str]]:
+    """Edges of a minimal independence map for an order of the variables: each node's parents are the first smallest set of its predecessors that separates it from the others."""
+    from itertools import combinations
+
+    out: list[tuple[str, str]] = []
+    for i, x in enumerate(order):
+        before = order[:i]
+        for size in range(len(before) + 1):
+            hit = next((z for z in combinations(before, size) if all(independence_gap(joint, x, y, list(z)).first()[0] <= tolerance for y in before if y not in z)), None)
+            if hit is not None:
+                out += [(p, x) for p in hit]
+                break
+    return out

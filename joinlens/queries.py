@@ -516,6 +516,46 @@ def subplan_sql(spark, sf):
     return spark.createDataFrame(rows, "aliases string, sql string")
 
 
+@query("SELECT ROUND(AVG(CASE WHEN c_acctbal > 5000 THEN COALESCE(n, 0) ELSE 0 END), 6) AS expectation FROM customer LEFT JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def fanout_expectation(spark, sf):
+    n = load(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    c = load(spark, sf, "customer")
+    both = c.join(n, c.c_custkey == n.o_custkey, "left")
+    return _rounded(bayes.expectation(both, F.col("c_acctbal") > 5000, F.coalesce("n", F.lit(0)).cast("double")), "expectation")
+
+
+@query("""WITH o AS (SELECT p_brand AS value, COUNT(*) AS n FROM part WHERE p_size <= 25 GROUP BY 1), a AS (SELECT p_brand AS value, COUNT(*) AS n FROM part GROUP BY 1)
+SELECT a.value, a.n, o.value IS NOT NULL AS known FROM a LEFT JOIN o USING (value)""")
+def update_categories(spark, sf):
+    p = load(spark, sf, "part")
+    old = bayes.common_value_codes(p.where("p_size <= 25"), "p_brand", common=5, bins=4)
+    top = old.agg(F.max("code")).first()[0]
+    return bayes.extend_codes(old, p.where("p_size > 25"), "p_brand").select("value", "n", (F.col("code") <= top).alias("known"))
+
+
+@query("SELECT l_orderkey % 100 AS part, CAST(SUM(epoch(l_shipdate) - epoch(TIMESTAMP '2010-07-19 00:00:00')) AS BIGINT) AS seconds FROM lineitem GROUP BY 1")
+def dates_to_seconds(spark, sf):
+    df = encode.dates_to_seconds(load(spark, sf, "lineitem"))
+    return df.groupBy((F.col("l_orderkey") % 100).alias("part")).agg(F.sum("l_shipdate").alias("seconds"))
+
+
+@query()
+def fixed_start_bins(spark, sf):
+    """Bins of the customer key group from its start key; masses of each key."""
+    keys = {"orders": binning.key_counts(load(spark, sf, "orders"), "o_custkey"), "customer": binning.key_counts(load(spark, sf, "customer"), "c_custkey")}
+    _, m = binning.fixed_start_bins(keys, 16)
+    out = m.groupBy("bin").agg(F.count("*").alias("width"))
+    for name, k in keys.items():
+        out = out.join(m.join(k, "value").groupBy("bin").agg(F.sum("n").alias(f"mass_{name}")), "bin", "left")
+    return out
+
+
+@query("SELECT CAST(SUM(n * n) AS BIGINT) AS n FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1)")
+def true_cardinality_self_join(spark, sf):
+    register(spark, sf, ["orders"])
+    return bound.true_count(spark, "SELECT COUNT(*) FROM orders a, orders b WHERE a.o_custkey = b.o_custkey").withColumnRenamed("true_count", "n")
+
+
 # Samples and updates
 
 

@@ -76,3 +76,21 @@ def test_random_workload(spark):
     filters = evaluate.random_filters(df, ["a", "b"], 10, seed=4)
     assert len(filters) == 10 == len([f for f in filters if df.where(f).count() >= 0])
     assert filters == evaluate.random_filters(df.repartition(5), ["a", "b"], 10, seed=4)
+
+
+def test_plans_and_literals(spark):
+    from joinlens.operators import binning, factors
+    from joinlens.plans import planner
+
+    a, b = spark.range(5).withColumnRenamed("id", "a"), spark.range(5).withColumnRenamed("id", "b")
+    joined = a.join(b, F.col("a") == F.col("b"))
+    assert len(planner.join_order(joined)) == 1 and planner.plan_nodes(joined)
+    queries = [f"SELECT COUNT(*) FROM t, u WHERE t.k = u.k AND t.v = {i}" for i in range(50)]
+    parts = planner.split_workload(queries)
+    assert sorted(q for p in parts for q in p) == sorted(queries) and all(parts)
+    assert sorted(map(len, planner.split_workload(queries, by_template=True))) == [0, 0, 50]
+    code = {"c": lambda v: str(ord(v[0]) - 65)}
+    assert planner.rewrite_literals("SELECT COUNT(*) FROM t WHERE t.c = 'B' AND t.d = 'B'", code) == "SELECT COUNT(*) FROM t WHERE t.c = 1 AND t.d = 'B'"
+    assert binning.workload_budget({"x": 3, "y": 1, "z": 0}, 40) == {"x": 30, "y": 10, "z": 1}
+    rows = spark.createDataFrame([(x, y, x) for x in (0, 1) for y in (0, 1)], "x int, y int, z int")
+    assert factors.minimal_map(factors.counts(rows, ["x", "y", "z"]), ["x", "y", "z"]) == [("x", "z")]
