@@ -96,10 +96,8 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def mutual_information(pairs: DataFrame) -> DataFrame:
     """a, b, mi in nats."""
-    whole = pairs.groupBy("a", "b").agg(F.sum("n").alias("total"))
-    nx = pairs.groupBy("a", "b", "x").agg(F.sum("n").alias("nx"))
-    ny = pairs.groupBy("a", "b", "y").agg(F.sum("n").alias("ny"))
-    cells = pairs.join(nx, ["a", "b", "x"]).join(ny, ["a", "b", "y"]).join(whole, ["a", "b"])
+    over = lambda *by: F.sum("n").over(Window.partitionBy("a", "b", *by))  # noqa: E731  of cells, which are pairs of states: the table is read once
+    cells = pairs.select("a", "b", "n", over("x").alias("nx"), over("y").alias("ny"), over().alias("total"))
     term = F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("nx").cast("double") * F.col("ny")))
     return cells.groupBy("a", "b").agg(F.sum(term).alias("mi"))
 
