@@ -28,7 +28,9 @@ from joinlens.llm.common import saved, steps, table, text_of
 Q = 8
 EDITS = 0.08
 #: Bytes of benchmark that one pass over the documents compares; a larger benchmark takes more passes.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
+#: Shared q-grams that are counted at once; bounds the memory that a repetitive text takes.
+COUNTED = 500_000
 _BITS = 24
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -78,7 +80,7 @@ def build(items: list[tuple], edits: float = EDITS) -> Index:
     present = np.zeros(1 << (_BITS - 3), np.uint8)
     top = (keys >> np.uint64(64 - _BITS)).astype(np.int64)
     np.bitwise_or.at(present, top >> 3, (1 << (top & 7)).astype(np.uint8))
-    return Index([i for i, _ in pairs], [t for _, t in pairs], budget, np.maximum(1, m - Q + 1 - budget * Q), keys[order], item[order], place[order], present)
+    return Index([i for i, _ in pairs], [t for _, t in pairs], budget, np.maximum(1, m - Q + 1 - budget * Q), keys[order], item[order].astype(np.int32), place[order].astype(np.int32), present)
 
 
 def align(pattern: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int, int, int] | None:
@@ -127,9 +129,7 @@ def occurrences(text: bytes, index: Index) -> list[tuple[int, int, int, int]]:
         n = right - left
         at, left, n = at[n > 0], left[n > 0], n[n > 0]
         if len(at):
-            entry = np.repeat(left - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
-            item, diagonal = index.item[entry], np.repeat(at, n) - index.place[entry]
-            for j, low, high in _bands(item, diagonal, index):
+            for j, low, high in _bands(at, left, n, index):
                 pattern, k = index.texts[j], int(index.budget[j])
                 if j in found and found[j][0] == 0:
                     continue
@@ -143,20 +143,26 @@ def occurrences(text: bytes, index: Index) -> list[tuple[int, int, int, int]]:
     return [(j, s, n, e) for j, (e, s, n) in sorted(found.items())]
 
 
-def _bands(item: np.ndarray, diagonal: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
+def _bands(at: np.ndarray, left: np.ndarray, n: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
     """(item, lowest and highest diagonal) of the bands with enough shared q-grams; each diagonal is in two bands."""
-    k = index.budget[item]
-    half = np.maximum(k, 1)
-    first = diagonal // half
-    who, band = np.concatenate([item, item]), np.concatenate([first, first - 1])
-    order = np.lexsort((band, who))
-    who, band = who[order], band[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(who) != 0) | (np.diff(band) != 0)]))
-    count = np.diff(np.append(new, len(who)))
-    for i in new[count >= index.needed[who[new]]]:
-        j = int(who[i])
-        h = max(int(index.budget[j]), 1)
-        yield j, int(band[i]) * h, int(band[i]) * h + 2 * h - 1
+    ends = n.cumsum()
+    keys, counts, begin = [], [], 0
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COUNTED, side="right")))
+        size = n[begin:end]
+        entry = np.repeat(left[begin:end] - np.concatenate([[0], size.cumsum()[:-1]]), size) + np.arange(size.sum())
+        item = index.item[entry].astype(np.int64)
+        band = (np.repeat(at[begin:end], size) - index.place[entry]) // np.maximum(index.budget[item], 1)
+        key, count = np.unique(np.concatenate([(item << 36) + band + (1 << 35), (item << 36) + band + (1 << 35) - 1]), return_counts=True)
+        keys.append(key)
+        counts.append(count)
+        begin = end
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+    for k in key[count >= index.needed[key >> 36]]:
+        j = int(k >> 36)
+        band, h = int(k & ((1 << 36) - 1)) - (1 << 35), max(int(index.budget[j]), 1)
+        yield j, band * h, band * h + 2 * h - 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:

@@ -334,6 +334,13 @@ def test_banded_alignment_equals_the_full_table():
         assert got is not None and got[0] == best
 
 
+def test_repetitive_texts_take_bounded_memory(monkeypatch):
+    monkeypatch.setattr(decontaminate, "COUNTED", 1000)
+    index = decontaminate.build([(1, "ab" * 100), (2, "xy" * 60)])
+    text = ("ab" * 400 + " q " + "xy" * 59 + "y").encode()
+    assert [o[0] for o in decontaminate.occurrences(text, index)] == [0, 1]
+
+
 def test_small_blocks_give_the_same(make, spark, monkeypatch):
     items = [(i, f"passage number {i} with some words that are its own {i * 7919}") for i in range(6)]
     rows = make([(i, f"before {t} after") for i, t in items])
