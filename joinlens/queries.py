@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joinlens.functions import encode
-from joinlens.operators import aggregates, bayes, binning, bound, evaluate, factors, independence, predicates, sampling
+from joinlens.operators import aggregates, bayes, binning, bound, evaluate, factors, independence, predicates, sampling, statistics
 from joinlens.plans.parser import parse, parse_what_if
 from joinlens.schema import driver_schema, load, register
 from joinlens.streaming import update
@@ -181,6 +181,13 @@ def bound_filtered(spark, sf):
     return bound.estimate(spark, text, _tables(spark, sf), driver_schema(), bins=64)
 
 
+@query(_two_way_sql("true", "o_orderstatus = 'F'", 64))
+def bound_from_statistics(spark, sf):
+    """lineitem from its stored factor, orders from a filtered scan."""
+    s = statistics.build(driver_schema(), _tables(spark, sf), 64, ["lineitem", "orders"])
+    return statistics.estimate("SELECT COUNT(*) FROM lineitem l, orders o WHERE l.l_orderkey = o.o_orderkey AND o.o_orderstatus = 'F'", s, _tables(spark, sf))
+
+
 NARY = "SELECT COUNT(*) FROM customer c, supplier s, nation n WHERE c.c_nationkey = n.n_nationkey AND s.s_nationkey = n.n_nationkey AND c.c_acctbal > 0"
 
 

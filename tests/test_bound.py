@@ -121,3 +121,16 @@ def test_every_value_is_in_one_bin(spark):
     assert m.count() == m.select("value").distinct().count() == 90
     name, best = binning.best_start_bins({"a": a, "b": b}, 6)
     assert best.count() == 90 and name in "ab"
+
+
+def test_stored_statistics_give_the_scans_bounds(spark, tmp_path):
+    from joinlens.operators import statistics
+
+    rows = spark.range(200).select((F.col("id") % 17).alias("x"), (F.col("id") % 11).alias("y"))
+    t = {"a": rows, "b": rows.select(F.col("x").alias("u")), "c": rows.select(F.col("y").alias("v"))}.__getitem__
+    schema = SchemaGraph({"a": TableDef("a", ("x", "y")), "b": TableDef("b", ("u",)), "c": TableDef("c", ("v",))}, (JoinEdge("a", "x", "b", "u"), JoinEdge("a", "y", "c", "v")))
+    s = statistics.build(schema, t, bins=4)
+    s.save(spark, str(tmp_path / "s"))
+    s = statistics.load(spark, str(tmp_path / "s"))
+    for sql in ("SELECT COUNT(*) FROM a, b WHERE a.x = b.u", "SELECT COUNT(*) FROM a, b, c WHERE a.x = b.u AND a.y = c.v", "SELECT COUNT(*) FROM a, b, c WHERE a.x = b.u AND a.y = c.v AND c.v < 5"):
+        assert statistics.estimate(sql, s, t).first()[0] == bound.estimate(spark, sql, t, bins=4).first()[0]
