@@ -8,7 +8,7 @@ are screened by their whole signatures and confirmed on full shingle sets; links
 
 Three rounds, each only with pairs that no links join so far: close neighbours in a few trees (this joins large groups of
 copies with few comparisons), wider neighbourhoods in all trees, and last an exact join of the classes in full-depth
-buckets that still span several components. A pair at the threshold misses all of 24 full-depth
+buckets that still span several components. A pair at the threshold misses all of 28 full-depth
 buckets with probability (1 - 0.85**6)**24, about 1 in 80,000, and is mostly met in the earlier rounds too.
 
 Cases: null or wordless text has the empty set and is linked with nothing. Rows with equal doc_id count as one
@@ -29,14 +29,13 @@ from joinlens.llm.common import joined_bytes, release, saved, steps, table, text
 from joinlens.llm.graph import components
 
 WORDS = 5
-TREES = 24
-DEPTH = 6
+TREES = 28
+DEPTH = 5
 LEAST_DEPTH = 4
 #: Trees and neighbours of the first round, neighbours of the second.
 FIRST_TREES, FIRST_NEAR, NEAR = 2, 2, 6
-PERCENT = 85
-#: Signatures that agree in a smaller share are not compared in full: five standard errors below the threshold.
-SCREEN = 0.70
+#: Least similarity in hundredths, unless a caller says otherwise.
+PERCENT = 80
 STEP = 1_000_000
 
 _A = np.random.default_rng(7).integers(0, 1 << 32, (2, TREES * DEPTH), np.uint64).astype(np.uint32)
@@ -182,24 +181,25 @@ def _keys(nodes: DataFrame, trees: int) -> DataFrame:
     return nodes.select("node", "component", each).select("node", "component", "k.tree", "k.key")
 
 
-def _screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree enough and whose sizes allow it, the smaller set first."""
+def _screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures agree enough, within five standard errors, and whose sizes allow it; the smaller set first."""
+    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (TREES * DEPTH)) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, TREES * DEPTH) for i in (2, 3))
-                keep = pa.array((a == b).mean(1) >= SCREEN)
+                keep = pa.array((a == b).mean(1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
     own = nodes.select("node", "sig", "n")
     both = pairs.join(own.withColumnsRenamed({"node": "u", "sig": "a", "n": "nu"}), "u").join(own.withColumnsRenamed({"node": "v", "sig": "b", "n": "nv"}), "v")
-    near = both.where(f"100 * least(nu, nv) >= {PERCENT} * greatest(nu, nv)")
+    near = both.where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
     first = F.col("nu") <= F.col("nv")
     return near.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("v"), "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= PERCENT * (len(both) - common))
+                keep.append(100 * common >= percent * (len(both) - common))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
@@ -224,8 +224,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return saved(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "confirmed")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept. Linked are sets with 100 * common >= percent * all shingles."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     signed = saved(rows.mapInArrow(_signatures, "doc_id long, n long, h1 long, h2 long, sig binary"), "signatures")
@@ -238,9 +238,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             found = components(links)
             nodes = saved(nodes.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
         keys = _keys(nodes, trees)
-        pairs = _neighbours(keys, near) if near else _unjoined(keys, rows, nodes)
-        pairs = saved(_screened(pairs, nodes), "candidates")
-        new = _confirmed(pairs, rows)
+        pairs = _neighbours(keys, near) if near else _unjoined(keys, rows, nodes, percent)
+        pairs = saved(_screened(pairs, nodes, percent), "candidates")
+        new = _confirmed(pairs, rows, percent)
         release(spark)
         links = new if links is None else links.unionByName(new)
     found = saved(components(links), "components")
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
-def _unjoined(keys: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _unjoined(keys: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that could still be near, by exact prefix filtering.
 
     Taken are the classes in a full-depth bucket that spans several components. Two sets at the threshold share one
@@ -266,25 +266,25 @@ def _unjoined(keys: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     often = tokens.withColumn("df", F.count("*").over(Window.partitionBy("shingle")))
     rare = Window.partitionBy("node").orderBy("df", "shingle")
     ranked = often.withColumn("rank", F.row_number().over(rare)).withColumn("n", F.count("*").over(Window.partitionBy("node")))
-    front = ranked.where(f"df > 1 and rank <= n - ceil(n * {PERCENT} / 100) + 1").join(nodes.select("node", "component"), "node")
+    front = ranked.where(f"df > 1 and rank <= n - ceil(n * {percent} / 100) + 1").join(nodes.select("node", "component"), "node")
     front = saved(front.select("shingle", "node", "component", "n", "rank"), "front")
     shared = front.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     rows = front.join(shared, "shingle")
     a, b = rows.alias("a"), rows.alias("b")
     # A common shingle at some rank leaves no more than the ranks from there on to share.
-    room = F.expr(f"(100 + {PERCENT}) * (least(a.n - a.rank, b.n - b.rank) + 1) >= {PERCENT} * (a.n + b.n)")
-    near = room & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)")
+    room = F.expr(f"(100 + {percent}) * (least(a.n - a.rank, b.n - b.rank) + 1) >= {percent} * (a.n + b.n)")
+    near = room & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
     return a.join(b, near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of the documents that are kept: the smallest doc_id of each component."""
-    gone = saved(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
+    gone = saved(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 OP4_SQL = r"""

@@ -17,7 +17,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     up = {i: i for i in sets}
 
@@ -28,7 +28,7 @@ def brute(rows):
 
     for a, b in combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 85 * len(x | y):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
             p, q = sorted((find(a), find(b)))
             up[q] = p
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
@@ -47,10 +47,11 @@ def corpus(seed=3):
     return rows
 
 
-def test_matches_brute_force(make):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_matches_brute_force(make, percent):
     rows = corpus()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(make(rows)).collect()}
-    assert got == brute(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(make(rows), percent).collect()}
+    assert got == brute(rows, percent)
 
 
 def test_last_round_alone_finds_what_the_others_miss(make, monkeypatch):
@@ -59,7 +60,7 @@ def test_last_round_alone_finds_what_the_others_miss(make, monkeypatch):
     monkeypatch.setattr(neardup, "FIRST_NEAR", 1)
     monkeypatch.setattr(neardup, "NEAR", 1)
     rows = corpus(9)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(make(rows)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(make(rows), 85).collect()}
     assert got == brute(rows)
 
 
