@@ -103,27 +103,35 @@ def anchors_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], a - starts[text[first]], a - last, a - first, h[a]
 
 
-ANCHOR = "kmer long, doc_id long, tie int, pos int, low int, high int, known boolean, place long"
+#: where: position, least and largest offset, and two flags in one number, as many anchors are moved.
+ANCHOR = "kmer long, doc_id long, tie int, where long"
+KNOWN, ANYWHERE = 2, 1
 
 
-def _placed(kmer: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which anchors are known to repeat as their step has the kmer twice, and where each goes: the first of
-    a step by its kmer, where it meets those of other steps; the others, whose fate is known, anywhere. So a very
-    common kmer sends one row for each step to its task."""
+def pack(pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return pos << 16 | low << 9 | high << 2
+
+
+def unpack(where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return where >> 16, where >> 9 & 127, where >> 2 & 127
+
+
+def _flags(kmer: np.ndarray) -> np.ndarray:
+    """KNOWN: the anchor repeats, as its step has the kmer twice. The first of a step goes to its kmer's task,
+    where it meets those of other steps; the others, whose fate is known, go ANYWHERE. So a very common kmer
+    sends one row for each step to its task."""
     _, first, inverse, count = np.unique(kmer, return_index=True, return_inverse=True, return_counts=True)
-    known = count[inverse] > 1
-    anywhere = known.copy()
-    anywhere[first] = False
-    return known, np.where(anywhere, kmer.view(np.int64) ^ (pos * 2654435761 + np.arange(len(pos)) * 40503), kmer.view(np.int64))
+    out = np.where(count[inverse] > 1, KNOWN | ANYWHERE, 0)
+    out[first] &= ~ANYWHERE
+    return out
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text"):
         data, starts = joined_bytes(batch, "text")
         text, pos, low, high, kmer = anchors(data, starts)
-        known, place = _placed(kmer, pos)
         rows = pa.array(text)
-        yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in (pos, low, high)), pa.array(known), pa.array(place)], [f.split()[0] for f in ANCHOR.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pack(pos, low, high) | _flags(kmer))], [f.split()[0] for f in ANCHOR.split(", ")])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,17 +145,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = k[1:] == k[:-1]
         if held is not None:
             meets = held.column(0)[0].as_py() == int(k[0])
-            if linked or meets or held.column(6)[0].as_py():
+            if linked or meets or held.column(3)[0].as_py() & KNOWN:
                 yield held
         else:
             meets = False
-        keep = np.concatenate([[meets], same]) | np.concatenate([same, [False]]) | batch.column(6).to_numpy(zero_copy_only=False)
+        keep = np.concatenate([[meets], same]) | np.concatenate([same, [False]]) | (np.asarray(batch.column(3)) & KNOWN != 0)
         linked = bool(meets) if len(k) == 1 else bool(same[-1])
         held = batch.slice(len(k) - 1, 1)
         keep[-1] = False
         if keep.any():
             yield batch.filter(pa.array(keep))
-    if held is not None and (linked or held.column(6)[0].as_py()):
+    if held is not None and (linked or held.column(3)[0].as_py() & KNOWN):
         yield held
 
 
@@ -338,7 +346,8 @@ def _make_runs(buckets: int):
             lists = batch.column(3)
             sizes = np.asarray(pc.list_value_length(lists))
             flat = lists.flatten()
-            kmer, pos, low, high = (np.asarray(flat.field(i)) for i in range(4))
+            kmer = np.asarray(flat.field(0))
+            pos, low, high = unpack(np.asarray(flat.field(1)))
             doc, tie = (np.repeat(np.asarray(batch.column(i)), sizes) for i in (0, 1))
             text = np.repeat(np.arange(len(sizes)), sizes)
             padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(WINDOW, np.uint8)])
@@ -399,10 +408,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.select("doc_id", "tie", "text").mapInArrow(_find_anchors, ANCHOR)
-    twice = saved(found.repartition(parts, "place").sortWithinPartitions("kmer").mapInArrow(_repeated, ANCHOR).drop("known", "place"), "anchors")
+    place = F.when(F.col("where").bitwiseAND(ANYWHERE) != 0, F.xxhash64("doc_id", "where")).otherwise(F.col("kmer"))
+    twice = saved(found.repartition(parts, place).sortWithinPartitions("kmer").mapInArrow(_repeated, ANCHOR), "anchors")
     release(spark)
     buckets = max(parts, -(-twice.count() // BUCKET))
-    of_doc = twice.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("kmer", "pos", "low", "high")).alias("anchors"))
+    of_doc = twice.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("kmer", "where")).alias("anchors"))
     texts = rows.select("doc_id", "tie", "text").join(of_doc, ["doc_id", "tie"])
     made = saved(texts.select("doc_id", "tie", "text", "anchors").mapInArrow(_make_runs(buckets), SPAN), "runs")
     release(spark)
