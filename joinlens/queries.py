@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joinlens.functions import encode
-from joinlens.operators import aggregates, bayes, binning, bound, evaluate, factors, independence, predicates, sampling, statistics
+from joinlens.operators import aggregates, bayes, binning, bound, estimators, evaluate, factors, independence, predicates, sampling, statistics
 from joinlens.plans.parser import parse, parse_what_if
 from joinlens.schema import driver_schema, load, register
 from joinlens.streaming import update
@@ -507,6 +507,17 @@ def sampled_estimate(spark, sf):
     return bound.estimate_from_samples(q, {"orders": (o.df, o.rate), "customer": (load(spark, sf, "customer"), 1.0)}, bins=16)
 
 
+@query("""WITH o AS (SELECT o_custkey % 16 AS b, COUNT(*) AS p FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1), m AS (SELECT k % 16 AS b, MAX(n) AS v FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1) GROUP BY 1),
+c AS (SELECT k % 16 AS b, SUM(n) AS p, MAX(n) AS v FROM (SELECT c_custkey AS k, COUNT(*) AS n FROM customer GROUP BY 1) GROUP BY 1)
+SELECT ROUND(CAST(SUM(LEAST(o.p * LEAST(c.p, c.v), c.p * LEAST(o.p, m.v))) AS DOUBLE), 3) AS bound FROM o JOIN m USING (b) JOIN c USING (b)""")
+def network_estimate(spark, sf):
+    """Masses from the tables' networks; with one attribute the tree is exact."""
+    o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
+    nets = {"orders": estimators.learn(o, ["o_custkey"], ["o_orderstatus"], 16), "customer": estimators.learn(c, ["c_custkey"], ["c_mktsegment"], 16)}
+    q = parse("SELECT COUNT(*) FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus IN ('F', 'O')", driver_schema())
+    return estimators.estimate_from_networks(q, nets).select(F.round("bound", 3).alias("bound"))
+
+
 @query("SELECT * FROM (VALUES ('o_custkey', 10.0, 30.0, false), ('o_totalprice', 100.0, 50.0, true)) t(column_name, low, high, contradictory)".replace("10.0, 30.0", "CAST(10 AS DOUBLE), CAST(30 AS DOUBLE)").replace("100.0, 50.0", "CAST(100 AS DOUBLE), CAST(50 AS DOUBLE)"))
 def predicate_merge(spark, sf):
     merged = predicates.merge(["o_custkey >= 10", "o_custkey < 77", "o_custkey BETWEEN 3 AND 30", "o_totalprice > 100", "o_totalprice <= 50"])

@@ -134,3 +134,15 @@ def test_stored_statistics_give_the_scans_bounds(spark, tmp_path):
     s = statistics.load(spark, str(tmp_path / "s"))
     for sql in ("SELECT COUNT(*) FROM a, b WHERE a.x = b.u", "SELECT COUNT(*) FROM a, b, c WHERE a.x = b.u AND a.y = c.v", "SELECT COUNT(*) FROM a, b, c WHERE a.x = b.u AND a.y = c.v AND c.v < 5"):
         assert statistics.estimate(sql, s, t).first()[0] == bound.estimate(spark, sql, t, bins=4).first()[0]
+
+
+def test_network_masses_are_close(spark):
+    """Continuous attributes become intervals; a range is covered in part."""
+    from joinlens.operators import estimators
+
+    rows = spark.range(6000).select((F.col("id") % 40).alias("k"), (F.col("id") * 7919 % 6000).cast("double").alias("v"), (F.col("id") % 3).alias("w"))
+    net = estimators.learn(rows, ["k"], ["v", "w"], bins=8)
+    assert set(net.edges) == {"v"}
+    f = estimators.network_factor(net, "t", {0: "k"}, ["t.v <= 2999", "t.w IN (0, 1)"])
+    truth = rows.where("v <= 2999 and w in (0, 1)").count()
+    assert f.df.agg(F.sum("mass")).first()[0] == pytest.approx(truth, rel=0.1)
