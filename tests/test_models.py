@@ -123,3 +123,20 @@ def test_sampling_and_prediction(spark):
     assert out.where("rain = 'yes' and predicted_wet = 'no'").count() == 0
     one = chains.sample(spark, gaussian.Gaussian(("a",), np.zeros(1), np.eye(1)), 10, chains=2, method="hmc")
     assert one.count() == 20
+
+
+def test_decision_process_round_trip():
+    from joinlens.models import pomdp
+
+    model = {
+        "description": "door",
+        "discount": 0.95,
+        "variables": [{"kind": "StateVar", "vnamePrev": "d0", "vnameCurr": "d1", "fullyObs": "false", "values": ["left", "right"]}, {"kind": "ActionVar", "vname": "a", "values": ["listen", "open"]}, {"kind": "RewardVar", "vname": "r", "values": []}],
+        "functions": {
+            "InitialStateBelief": [{"var": "d0", "parents": ["null"], "type": "TBL", "table": [(["-"], ["0.5", "0.5"])]}],
+            "StateTransitionFunction": [{"var": "d1", "parents": ["a", "d0"], "type": "DD", "diagram": ("a", {"listen": ("d0", {"left": 1.0, "right": 0.0}), "open": 0.5})}],
+            "ObsFunction": [],
+            "RewardFunction": [{"var": "r", "parents": ["a"], "type": "TBL", "table": [(["listen"], ["-1"])]}],
+        },
+    }
+    assert pomdp.read(pomdp.write(model)) == model
