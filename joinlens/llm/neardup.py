@@ -263,7 +263,9 @@ def _unjoined(keys: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
     own = saved(keys.join(mixed, "bucket").select("node").distinct(), "mixed")
     texts = docs.join(own.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     tokens = texts.select("doc_id", "text").mapInArrow(_single_shingles, "node long, shingle long").distinct()
-    often = tokens.withColumn("df", F.count("*").over(Window.partitionBy("shingle")))
+    # Counted apart and joined, so that a shingle of very many classes is added up before it is shuffled and split in the join.
+    twice = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    often = tokens.join(twice, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rare = Window.partitionBy("node").orderBy("df", "shingle")
     ranked = often.withColumn("rank", F.row_number().over(rare)).withColumn("n", F.count("*").over(Window.partitionBy("node")))
     front = ranked.where(f"df > 1 and rank <= n - ceil(n * {percent} / 100) + 1").join(nodes.select("node", "component"), "node")
