@@ -41,6 +41,7 @@ NEVER = frozenset("nav aside form script style noscript template iframe svg math
 OUTSIDE = frozenset("header footer".split())
 WORDS = frozenset("ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer login menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget masthead topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+CONTENT = frozenset("article content entry post story".split())  # with one of these, a header is the article's own
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 SCOPE = frozenset("ul ol dl table article section div main body td th blockquote".split())
@@ -106,7 +107,8 @@ def tree(page: str) -> Node:
             words = f"{a.get('class', '')} {a.get('id', '')}".lower()
             node.mark = " ".join(words.split())
             style = a.get("style", "").replace(" ", "").lower()
-            node.dropped = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or a.get("role", "").lower() in ROLES or any(w in WORDS for w in _SPLIT.split(words))
+            own = set(_SPLIT.split(words))
+            node.dropped = "header" in own and not own & CONTENT or not own.isdisjoint(WORDS) or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or a.get("role", "").lower() in ROLES
             if a.get("role") == "main":
                 node.name = "main"
         if name in RAW:

@@ -211,7 +211,7 @@ def test_article_without_the_rest():
     assert wrapper.main_text(PAGE, None) == "A & B\nFirst text more\nSecond one"
 
 
-@pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<div>a<span>b</span> c</div>d", "ab c\nd"), ("<nav>x</nav>", ""), ("a < b &lt; c", "a < b < c"), ("<!-- x", ""), ("<script>x", ""), ("<ul><li>a<li>b<ul><li>c</ul></ul>", "a\nb\nc"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc")])
+@pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<div>a<span>b</span> c</div>d", "ab c\nd"), ("<nav>x</nav>", ""), ("<div class='site-header'>x</div><div class='post header'>y</div><div id=main-menu>z</div>", "y"), ("a < b &lt; c", "a < b < c"), ("<!-- x", ""), ("<script>x", ""), ("<ul><li>a<li>b<ul><li>c</ul></ul>", "a\nb\nc"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc")])
 def test_broken_markup(page, text):
     assert wrapper.main_text(page, None) == text
 
