@@ -71,16 +71,25 @@ class Model:
         return out + self.weights[:, hit].sum(1) if hit else out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, shapes: float, penalty: float = 0.005, rounds: int = 25) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, shapes: float, penalty: float = 0.02, rounds: int = 25) -> np.ndarray:
     """Newton steps with ridge penalties for words and for shapes (not on the constant)."""
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
     ridge[:SHAPES] = shapes
     ridge[0] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * ridge @ (w * w))
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-4:
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:  # a full step can overshoot where classes are apart
+            size /= 2
+        w, before, now = w + size * step, now, loss(w + size * step)
+        if before - now < 1e-7 * abs(before):
             break
     return w
 
