@@ -2,7 +2,9 @@
 
 Texts become normalised TF-IDF vectors of hashed byte trigrams of the lower-cased text. Each language
 gets several centroids (spherical k-means), and a text takes the language of the centroid with the
-largest cosine. A text that is too far from every centroid is rejected.
+largest cosine. A text that is too far from that centroid is rejected. How far is too far is fitted and goes by
+the text's length: any text's cosine grows with its length, so the limit lies between what a text of that length
+gets by chance (its counts spread over random bins) and what texts of the language get that weren't fitted on.
 
 Cases: null text or a text without a letter gives ``und``, score 0, rejected. With no usable training
 row every text is ``und``. Null languages are never learned. Repeated rows each give a row. Rows with a
@@ -28,8 +30,13 @@ MAX_PER_LANGUAGE = 600
 #: Bound of the number of languages, the commonest first.
 MAX_LANGUAGES = 256
 CENTROIDS = 4
-#: A text whose best cosine is below this is rejected.
-MIN_COSINE = 0.06
+#: Where the rejection limit lies between chance (0) and the lower end of the language's own texts (1), in ratios.
+STRICTNESS = 0.6
+#: The lower end of a language's texts: this share of them is below.
+LOWER_END = 0.05
+#: Own texts are also thinned to so many trigrams, or put together by so many, to have all lengths.
+THINNED = (4, 16, 64, 256, 1024)
+POOLED = (4, 16, 64)
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _FOLD = np.full(256, 32, np.uint8)
@@ -43,6 +50,10 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
+    lower: np.ndarray  # a row for each language: log of the lower end's cosine over chance, by the text's log2 size
+
+
+SIZES = int(np.log2(BINS)) + 1
 
 
 def has_letter(text: str | None) -> bool:
@@ -75,6 +86,56 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def _size(counts: np.ndarray) -> np.ndarray:
+    """How many bins a text's counts fill in effect."""
+    return np.sqrt(counts).sum(1) ** 2 / np.maximum(counts.sum(1), 1e-9)
+
+
+def _chance(size: np.ndarray, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The cosine with a centroid (one for each text) that a text of that size gets if its counts fall into random bins."""
+    return np.sqrt(size / BINS) * (centroids @ idf) / np.linalg.norm(idf)
+
+
+def _lower_end(counts: np.ndarray, idf: np.ndarray, centroids: int) -> np.ndarray:
+    """For each log2 size: log of the cosine over chance at the lower end of a language's texts, with centroids fitted on the other half of them."""
+    counts = np.unique(counts, axis=0)
+    rng, seen = np.random.default_rng(0), [[] for _ in range(SIZES)]
+    counts = counts[rng.permutation(len(counts))]
+    for half in (0, 1):
+        own, other = counts[half::2], counts[1 - half :: 2]
+        if not len(own) or not len(other):
+            continue
+        centre = _cluster(_vectors(other, idf), centroids)
+        total = own.sum(1, keepdims=True)
+        texts = [own, *(rng.binomial(own.astype(np.int64), np.minimum(n / np.maximum(total, 1), 1)) for n in THINNED)]
+        texts += [own[: len(own) // n * n].reshape(-1, n, BINS).sum(1) for n in POOLED]
+        for c in texts:
+            size = _size(c)
+            c, size = c[size > 0], size[size > 0]
+            cosine = _vectors(c, idf) @ centre.T
+            best = cosine.argmax(1)
+            ratio = np.maximum(cosine.max(1), 1e-9) / np.maximum(_chance(size, idf, centre[best]), 1e-9)
+            for k, r in zip(np.rint(np.log2(size)).astype(int), np.log(ratio), strict=True):
+                seen[k].append(r)
+    have = [k for k in range(SIZES) if seen[k]]
+    if not have:
+        return np.zeros(SIZES)  # one text tells no spread: chance is the limit
+    return np.interp(np.arange(SIZES), have, [np.quantile(seen[k], LOWER_END) for k in have])
+
+
+def _near(counts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's best centroid, its cosine, and whether that is near enough."""
+    cosine = _vectors(counts, model.idf) @ model.centroids.T
+    best = cosine.argmax(1)
+    top, size = cosine[np.arange(len(best)), best], np.maximum(_size(counts), 1)
+    at = np.log2(size)
+    k = np.minimum(at.astype(int), SIZES - 2)
+    low = model.lower[model.owner[best]]
+    row = np.arange(len(best))
+    lower = low[row, k] + (low[row, k + 1] - low[row, k]) * (at - k)
+    return best, top, (top > 0) & (top >= _chance(size, model.idf, model.centroids[best]) * np.exp(STRICTNESS * lower))
+
+
 def _lowered(batch: pa.RecordBatch) -> tuple[list[str | None], np.ndarray, np.ndarray]:
     texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
     low = pa.RecordBatch.from_arrays([pa.array([" " + t.lower() + " " if t else "" for t in texts], pa.large_string())], ["text"])
@@ -115,7 +176,7 @@ def fit(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, centroids: int =
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
-        return Model((), np.ones(BINS, np.float32), np.zeros((0, BINS), np.float32), np.zeros(0, np.int64))
+        return Model((), np.ones(BINS, np.float32), np.zeros((0, BINS), np.float32), np.zeros(0, np.int64), np.zeros((0, SIZES)))
     rate = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(rate, F.col("lang")) * 1_000_003)
     got = sample.select("lang", "text").mapInArrow(_count_rows, "lang string, counts binary").toPandas()
@@ -126,26 +187,29 @@ def fit(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, centroids: int =
     languages = tuple(sorted(set(names)))
     parts = [_cluster(x[names == lang], centroids) for lang in languages]
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return Model(languages, idf, np.vstack(parts).astype(np.float32) if parts else np.zeros((0, BINS), np.float32), owner)
+    lower = np.array([_lower_end(counts[names == lang], idf, centroids) for lang in languages]).reshape(-1, SIZES)
+    return Model(languages, idf, np.vstack(parts).astype(np.float32) if parts else np.zeros((0, BINS), np.float32), owner, lower)
 
 
-def predict(docs: DataFrame, model: Model, min_cosine: float = MIN_COSINE) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Adds nothing to the rows but: doc_id, lang_pred, score, rejected."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             texts, data, starts = _lowered(batch)
-            cosine = _vectors(trigram_counts(data, starts), model.idf) @ model.centroids.T
             known = np.array([has_letter(t) for t in texts]) & bool(model.languages)
-            best = cosine.argmax(1) if model.languages else np.zeros(len(texts), int)
-            score = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0) if model.languages else np.zeros(len(texts))
+            if model.languages:
+                best, score, near = _near(trigram_counts(data, starts), model)
+            else:
+                best, score, near = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            score = np.where(known, np.clip(score, 0, 1), 0.0)
             lang = [model.languages[model.owner[b]] if k else "und" for b, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(~known | (score < min_cosine))], ["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(~known | ~near)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
-def accepted(docs: DataFrame, model: Model, min_cosine: float = MIN_COSINE) -> DataFrame:
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The same rows and columns without those that are rejected. Without a model (nothing to learn from) only texts without a letter go."""
     place = docs.columns.index("text")
 
@@ -154,7 +218,7 @@ def accepted(docs: DataFrame, model: Model, min_cosine: float = MIN_COSINE) -> D
             texts, data, starts = _lowered(batch)
             keep = np.array([has_letter(t) for t in texts])
             if model.languages:
-                keep &= (_vectors(trigram_counts(data, starts), model.idf) @ model.centroids.T).max(1) >= min_cosine
+                keep &= _near(trigram_counts(data, starts), model)[2]
             yield batch.filter(pa.array(keep))
 
     if docs.schema[place].dataType.typeName() != "string":

@@ -1,5 +1,6 @@
 """Fingerprints, packing, language ID, quality, archives, pages, personal data and decontamination."""
 
+import base64
 import hashlib
 import json
 import random
@@ -137,6 +138,24 @@ def test_languages_apart(make, spark):
     assert sorted(r["doc_id"] for r in langid.accepted(rows, model).collect()) == [1, 2]
 
 
+def test_rejection_at_every_length(make, spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and lang is not null")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rng = random.Random(9)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności bez względu na różnice rasy, koloru, płci, języka i wyznania. "
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    junk = [polish, polish * 40, finnish, finnish * 60]
+    for n in (300, 3000, 30_000):
+        junk += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), base64.b64encode(rng.randbytes(n)).decode(), "".join(chr(rng.randrange(0x4E00, 0x6000)) for _ in range(n))]
+    assert langid.accepted(make(list(enumerate(junk))), model).count() == 0
+    assert all(r["rejected"] for r in langid.predict(make(list(enumerate(junk))), model).collect())
+    texts = [(r["text"], r["lang"]) for r in docs.where(langid.held_out()).collect()]
+    for lang in sorted({name for _, name in texts}):
+        own = [t for t, name in texts if name == lang]
+        cuts = [t[:n] for t in own for n in (60, 200, 1000) if len(t) >= n] + own + [" ".join(own)]
+        assert langid.accepted(make(list(enumerate(cuts))), model).count() >= 0.98 * len(cuts)
+
+
 def test_nothing_to_learn_from(make):
     rows = make([(1, "some text"), (2, None)], lang=None)
     model = langid.fit(rows)
