@@ -67,6 +67,22 @@ def test_rank_ids_equal_the_tokenizers_ids():
         assert packing.encoder(packing.default_vocabulary()).encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_a_text_are_the_tokenizers(make):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"x  {end}\n\n y's{end}", f"é{end}  ", "<|endoftext", f"<|endof{end}text|>", f"<{end}>", "plain  text ", "", f"\x00\r\n {end} 日本 🙂"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice([end, " ", "  ", "\n", "ab", "é", "'s", "12", "<|"]) for _ in range(60)) for _ in range(50)]
+    out = {r["doc_id"]: r for r in packing.cut(make(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        assert (out[i]["doc_tokens"], out[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 9), min_size=1, max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_best_fit_decreasing_equals_the_plain_form(histogram):
