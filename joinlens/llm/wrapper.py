@@ -4,8 +4,8 @@ Each page becomes a small tree: runs of equal siblings (the paragraphs of an art
 menu) fold into one repeated node. The trees of a host's pages are aligned by simple tree matching and
 merged into the host's wrapper: a node whose text is the same on all pages is constant, one whose text
 differs is a slot. Extraction aligns a page with its host's wrapper: slots are content, constants are
-template. Elements whose name or class says navigation, advert, form, comment and the like are never
-content; where a page marks its article, only what stands there is.
+template. Elements whose name or whole class says navigation, advert, form, comment and the like are never
+content, unless they hold the only article; where a page marks its article, only what stands there is.
 
 A constant node counts as template only in a wrapper of at least MIN_PAGES pages, and inside a marked
 article only where other nodes of the article vary (so copies of one article keep their text). Repeated nodes are slots.
@@ -40,6 +40,9 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 NEVER = frozenset("nav aside form script style noscript template iframe svg math select button textarea title dialog menu head input object video audio canvas".split())
 OUTSIDE = frozenset("header footer".split())
 WORDS = frozenset("ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer login menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget masthead topbar".split())
+#: Whole class or id names: the words, and the words of a whole site's frame after these.
+FRAME = frozenset(f"{a}-{b}" for a in ("site", "main", "top", "global", "primary", "secondary") for b in ("header", "footer", "menu", "nav", "navbar", "navigation", "sidebar", "banner"))
+KEPT = frozenset("html body main article".split())  # never dropped for a name or role
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CONTENT = frozenset("article content entry post story".split())  # with one of these, a header is the article's own
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -49,7 +52,6 @@ SCOPE = frozenset("ul ol dl table article section div main body td th blockquote
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!?/?[A-Za-z][^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass
@@ -57,6 +59,7 @@ class Node:
     name: str
     mark: str = ""  # class, id and role words
     dropped: bool = False
+    doubtful: bool = False  # a class or id names it as navigation, advert and the like
     parts: list = field(default_factory=list)  # str and Node, in page order
 
 
@@ -107,8 +110,10 @@ def tree(page: str) -> Node:
             words = f"{a.get('class', '')} {a.get('id', '')}".lower()
             node.mark = " ".join(words.split())
             style = a.get("style", "").replace(" ", "").lower()
-            own = set(_SPLIT.split(words))
-            node.dropped = "header" in own and not own & CONTENT or not own.isdisjoint(WORDS) or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or a.get("role", "").lower() in ROLES
+            own = set(words.split())
+            if name not in ("html", "body"):
+                node.dropped = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or name not in KEPT and a.get("role", "").lower() in ROLES
+            node.doubtful = name not in KEPT and a.get("role") != "main" and own.isdisjoint(CONTENT) and ("header" in own or not own.isdisjoint(WORDS) or not own.isdisjoint(FRAME))
             if a.get("role") == "main":
                 node.name = "main"
         if name in RAW:
@@ -120,14 +125,14 @@ def tree(page: str) -> Node:
     return root
 
 
-def _marked(node: Node, out: list[Node]) -> list[Node]:
-    """Outermost article or main elements that aren't inside dropped ones; main only counts where no article is in it."""
+def _marked(node: Node, out: list[Node], doubtful: bool = False) -> list[Node]:
+    """Outermost article or main elements that aren't inside dropped (or doubtful) ones; main only counts where no article is in it."""
     for p in node.parts:
-        if isinstance(p, Node) and not p.dropped and p.name not in NEVER and p.name not in OUTSIDE:
+        if isinstance(p, Node) and not p.dropped and (doubtful or not p.doubtful) and p.name not in NEVER and p.name not in OUTSIDE:
             if p.name == "article":
                 out.append(p)
             else:
-                inner = _marked(p, [])
+                inner = _marked(p, [], doubtful)
                 out += inner if inner or p.name != "main" else [p]
     return out
 
@@ -148,7 +153,7 @@ def _tidy(pieces: list[str]) -> str:
 def blocks(page: str) -> tuple[list[Block], bool]:
     """Text blocks in page order with their paths of elements, and whether the page marks its article."""
     root = tree(page)
-    found = _marked(root, [])
+    found = _marked(root, []) or _marked(root, [], True)  # an element that holds the only article isn't left out for its name
     out: list[Block] = []
     pieces: list[str] = []
 
@@ -163,7 +168,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 pieces.append(p)
             elif p.name == "br":
                 pieces.append(" ")
-            elif p.dropped or p.name in NEVER or p.name in OUTSIDE and not (inside and p.name == "header"):
+            elif p.dropped or p.doubtful or p.name in NEVER or p.name in OUTSIDE and not (inside and p.name == "header"):
                 if p.name not in INLINE:
                     flush(path)
             elif p.name in INLINE:

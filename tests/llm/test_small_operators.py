@@ -251,6 +251,11 @@ def test_broken_markup(page, text):
     assert wrapper.main_text(page, None) == text
 
 
+@pytest.mark.parametrize("page", ["<body class='no-sidebar'><article><p>x</article>", "<body class='menu'><p>x", "<div class='content with-sidebar'><p>x</div>", "<article class='post has-comments'>x</article>", "<article class='post social-science'>x</article>", "<main class=search>x</main>", "<div id=menu class=banner><article>x</article></div>", "<div class=related><article>y</article></div><article>x</article>", "<html class=cookie><body role=search>x"])
+def test_names_do_not_drop_the_article(page):
+    assert wrapper.main_text(page, None) == "x"
+
+
 def test_wrappers_tell_constants_from_slots(spark):
     page = "<body><div class=top>Welcome to our site</div><div class=body><p>story {0}<p>more {0} words</div><div class=low>All rights kept</div></body>"
     rows = [(i, f"http://h{i % 2}.org/{i}", page.format(i)) for i in range(20)] + [(99, None, page.format(99)), (100, "http://h1.org/x", None)]
