@@ -35,7 +35,11 @@ MAX_CHILDREN = 64
 
 # Names of HTML elements and attribute words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
+RAW = frozenset("script style textarea title iframe".split())  # text up to the end tag, or the page's end
+FOREIGN = frozenset("svg math".split())
+#: Start tags that end an open svg, math or select.
+BREAKOUT = frozenset("address article blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
+ISLAND = frozenset("foreignobject annotation-xml desc".split())  # HTML inside of svg or math
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("nav aside form script style noscript template iframe svg math select button textarea title dialog menu head input object video audio canvas".split())
 OUTSIDE = frozenset("header footer".split())
@@ -70,6 +74,7 @@ def _attributes(tag: str, name_end: int) -> dict[str, str]:
 def tree(page: str) -> Node:
     root = Node("root")
     stack = [root]
+    enclosed = False  # an svg, math or select was opened
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -89,6 +94,16 @@ def tree(page: str) -> Node:
                     del stack[i:]
                     break
             continue
+        foreign = False
+        for i in range(len(stack) - 1, 0, -1) if enclosed else ():
+            if stack[i].name in ISLAND:
+                break
+            if stack[i].name in FOREIGN or stack[i].name == "select":
+                if name in BREAKOUT or stack[i].name == "select" and name in ("select", "input", "textarea"):
+                    del stack[i:]
+                else:
+                    foreign = stack[i].name in FOREIGN
+                break
         if name in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
@@ -116,12 +131,15 @@ def tree(page: str) -> Node:
             node.doubtful = name not in KEPT and a.get("role") != "main" and own.isdisjoint(CONTENT) and ("header" in own or not own.isdisjoint(WORDS) or not own.isdisjoint(FRAME))
             if a.get("role") == "main":
                 node.name = "main"
-        if name in RAW:
+        raw = name in RAW and not (foreign and tag.endswith("/>"))
+        if raw:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            if close or not foreign:
+                at = close.end() if close else end
         stack[-1].parts.append(node)
-        if name not in VOID and name not in RAW and not tag.endswith("/>"):
+        if name not in VOID and not raw and not tag.endswith("/>"):
             stack.append(node)
+            enclosed = enclosed or name in FOREIGN or name == "select"
     return root
 
 

@@ -256,6 +256,12 @@ def test_names_do_not_drop_the_article(page):
     assert wrapper.main_text(page, None) == "x"
 
 
+@pytest.mark.parametrize("inner", ["<svg viewBox='0 0 1 1'/>", "<math/>", "<SVG />", "<svg><path d='M0'/><title>icon</title></svg>", "<svg><title/></svg>", "<svg><style/></svg>", "<svg><g>", "<math><mi>y</mi>", "<select><option>o", "<select><option>o</select>", "<template>t</template>", "<noscript>n</noscript>", "<svg><foreignObject><p>f</p></foreignObject></svg>"])
+def test_embedded_elements_do_not_cut_the_page(inner):
+    assert wrapper.main_text(f"<article><p>a</p>{inner}<p>b</p></article>", None) == "a\nb"
+    assert wrapper.main_text(f"<div>{inner}</div><article><p>a</p><p>b</p></article>", None) == "a\nb"
+
+
 def test_wrappers_tell_constants_from_slots(spark):
     page = "<body><div class=top>Welcome to our site</div><div class=body><p>story {0}<p>more {0} words</div><div class=low>All rights kept</div></body>"
     rows = [(i, f"http://h{i % 2}.org/{i}", page.format(i)) for i in range(20)] + [(99, None, page.format(99)), (100, "http://h1.org/x", None)]
