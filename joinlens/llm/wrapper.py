@@ -3,11 +3,12 @@
 Each page becomes a small tree: runs of equal siblings (the paragraphs of an article, the entries of a
 menu) fold into one repeated node. The trees of a host's pages are aligned by simple tree matching and
 merged into the host's wrapper: a node whose text is the same on all pages is constant, one whose text
-differs is a slot. Extraction aligns a page with its host's wrapper: slots are content, constants are
-template. Elements whose name or whole class says navigation, advert, form, comment and the like are never
+differs is a slot. A host without a slot keeps all its text. Which blocks are constant is counted exactly
+beside the wrapper, by path and text over the host's different pages, so it depends neither on the wrapper's
+bound nor on how a large host is split. Slots are content, constants are template. Elements whose name or whole class says navigation, advert, form, comment and the like are never
 content, unless they hold the only article; where a page marks its article, only what stands there is.
 
-A constant node counts as template only in a wrapper of at least MIN_PAGES pages, and inside a marked
+A constant counts as template only on a host of at least MIN_PAGES different pages, and inside a marked
 article only where other nodes of the article vary (so copies of one article keep their text). Repeated nodes are slots.
 
 Cases: null html is empty and gives an empty text. Broken markup closes as browsers do, in simple form.
@@ -17,12 +18,14 @@ gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,11 @@ from pyspark.sql import functions as F
 from joinlens.llm.common import saved, steps, table, text_of
 
 MIN_PAGES = 5
-#: Bound of a wrapper's size; later optional nodes of a host are left out, which makes them slots.
+#: Share of a host's different pages that a constant is on.
+CONSTANT = 0.9
+#: Bound of counters that a task holds at once.
+COUNTERS = 200_000
+#: Bound of a wrapper's size. Constants don't depend on it: they are counted beside the wrapper.
 MAX_CHILDREN = 64
 
 # Names of HTML elements and attribute words.
@@ -275,30 +282,91 @@ def _slots(node: Wrapper) -> bool:
     return (node[2] is None and node[1]) or (node[2] is None and bool(node[0])) or any(_slots(c) for c in node[4])
 
 
-def _constants(page: Wrapper, wrapper: Wrapper, pages: int, out: set[tuple[str, str]], path: str = "") -> None:
-    for i, j in match(page, wrapper):
-        p, w = page[4][i], wrapper[4][j]
+def _hashed(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def entries(found: list[Block]) -> list[int]:
+    """A hash of each block's path and text."""
+    return [_hashed("/".join(b.path) + "\0" + b.text) for b in found]
+
+
+def _single(page: Wrapper, out: set[tuple[str, str]], path: str = "") -> set[tuple[str, str]]:
+    """Paths and texts of the nodes that aren't repeated."""
+    for p in page[4]:
         at = f"{path}/{p[0]}"
-        if not p[1] and p[2] and w[2] == p[2] and w[3] >= 0.9 * pages:
+        if not p[1] and p[2]:
             out.add((at, p[2]))
-        _constants(p, w, pages, out, at)
+        _single(p, out, at)
+    return out
+
 
+def countable(found: list[Block]) -> list[int]:
+    """The entries that can be constant."""
+    single = _single(folded(found), set())
+    return [e for b, e in zip(found, entries(found), strict=True) if ("/" + "/".join(b.path), b.text) in single]
 
-def main_text(page: str | None, wrapper: Wrapper | None) -> str:
+
+def main_text(page: str | None, wrapper: Wrapper | None, constants: frozenset[int] = frozenset()) -> str:
     found, _ = blocks(page or "")
-    if wrapper is None or wrapper[3] < MIN_PAGES or not _slots(wrapper):
+    if wrapper is None or not constants or not _slots(wrapper):
         return "\n".join(b.text for b in found)
-    constants: set[tuple[str, str]] = set()
-    _constants(folded(found), wrapper, wrapper[3], constants)
-    return "\n".join(b.text for b in found if ("/" + "/".join(b.path), b.text) not in constants)
+    can = constants.intersection(countable(found))
+    return "\n".join(b.text for b, e in zip(found, entries(found), strict=True) if e not in can)
 
 
 def _host():
     return F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def counted(pages: DataFrame) -> DataFrame:
+    """host, constants: hashes of the blocks on CONSTANT of the host's different pages, MIN_PAGES at least. Exact, however a host is split; copies of a page count once."""
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in steps(batches, "html"):
+            out: list[tuple[str, int, bytes]] = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found, _ = blocks(page)
+                every = np.array(entries(found), np.int64).tobytes()
+                sign = int.from_bytes(hashlib.blake2b(every, digest_size=8).digest(), "little", signed=True)
+                if found and (host, sign) not in seen:
+                    seen.add((host, sign))
+                    out.append((host, sign, np.unique(np.array(countable(found), np.int64)).tobytes()))
+            if len(seen) > COUNTERS:
+                seen.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["host", "sign", "entries"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, int | None], int] = {}
+
+        def emit() -> pa.RecordBatch:
+            hosts, keys = zip(*known, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(list(known.values()), pa.int64())], ["host", "entry", "n"])
+            known.clear()
+            return out
+
+        for batch in batches:
+            for host, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for e in (None, *np.frombuffer(found, np.int64).tolist()):  # None counts the pages
+                    known[host, e] = known.get((host, e), 0) + 1
+                if len(known) > COUNTERS:
+                    yield emit()
+        if known:
+            yield emit()
+
+    rows = pages.select(_host().alias("host"), text_of(pages, "html").alias("html")).mapInArrow(entered, "host string, sign long, entries binary")
+    different = rows.dropDuplicates(["host", "sign"]).select("host", "entries")
+    n = different.mapInArrow(counts, "host string, entry long, n long").groupBy("host", "entry").agg(F.sum("n").alias("n"))
+    # Without rare entries, which are never constant, a host has fewer entries than its longest pages have blocks times a small number.
+    n = saved(n.where(F.col("entry").isNull() | (F.col("n") >= CONSTANT * MIN_PAGES)), "entries")
+    total = n.where("entry is null").select("host", F.col("n").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    return n.where("entry is not null").join(total, "host").where(F.col("n") >= CONSTANT * F.col("pages")).groupBy("host").agg(F.collect_list("entry").alias("constants"))
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON). Every task merges its own pages of a host first, so a large host gives a row for each task."""
+    """host, wrapper (JSON), constants. Every task merges its own pages of a host first, so a large host gives a row for each task."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
@@ -333,26 +401,26 @@ def induce(pages: DataFrame) -> DataFrame:
 
     schema = "host string, wrapper string"
     parts = pages.select(_host().alias("host"), text_of(pages, "html").alias("html")).mapInArrow(partial, schema)
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(whole, schema)
+    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(whole, schema).join(counted(pages), "host", "left")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars. A large host's pages are split among tasks by the skew join; its wrapper goes to each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Wrapper] = {}
+        seen: dict[str, tuple[Wrapper | None, frozenset[int]]] = {}
         for batch in steps(batches, "html"):
             texts = []
-            for host, page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for host, page, wrapper, constants in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 if host not in seen:
                     if len(seen) > 1000:
                         seen.clear()
-                    seen[host] = json.loads(wrapper) if wrapper else None
-                texts.append(main_text(page, seen[host]))
+                    seen[host] = json.loads(wrapper) if wrapper else None, frozenset(constants or ())
+                texts.append(main_text(page, *seen[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _host().alias("host"), text_of(pages, "html").alias("html"))
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper", "constants").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:

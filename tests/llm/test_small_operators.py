@@ -277,6 +277,22 @@ def test_copies_of_one_article_keep_it(spark):
     assert {r["text"] for r in wrapper.extract(pages, wrapper.induce(pages)).collect()} == {"T\nsame"}
 
 
+def test_constants_after_many_varied_blocks_are_found(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(24):
+        inner = "".join(f"<{tag}>{tag} {i} {k} {rng.random()}</{tag}>" for k, tag in enumerate(rng.choices(["h2", "p", "h3", "pre", "blockquote"], k=90)))
+        rows.append((i, f"http://h/{i}", f"<body><div>Top line</div>{inner}<address>All rights kept</address></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    results = []
+    for split in (1, 3, 8):
+        dealt = pages.repartition(split)
+        results.append({r["page_id"]: r["text"] for r in wrapper.extract(dealt, wrapper.induce(dealt)).collect()})
+    assert results[0] == results[1] == results[2] and len(results[0]) == 24
+    for text in results[0].values():
+        assert len(text.split("\n")) == 90 and "rights" not in text and "Top" not in text
+
+
 def test_merging_is_independent_of_the_split():
     own = [wrapper.folded(wrapper.blocks(f"<div>c</div><ul><li>{i}<li>x</ul><p>{'v' * i}</p>")[0]) for i in range(1, 7)]
     one = own[0]
