@@ -9,7 +9,8 @@ bound nor on how a large host is split. Slots are content, constants are templat
 content, unless they hold the only article; where a page marks its article, only what stands there is.
 
 A constant counts as template only on a host of at least MIN_PAGES different pages, and inside a marked
-article only where other nodes of the article vary (so copies of one article keep their text). Repeated nodes are slots.
+article only where other nodes of the article vary (so copies of one article keep their text). The entries of a repeated
+node count one by one.
 
 Cases: null html is empty and gives an empty text. Broken markup closes as browsers do, in simple form.
 A null url, or one without a host, belongs to the host ''. Repeated rows each give a row. An empty table
@@ -291,28 +292,11 @@ def entries(found: list[Block]) -> list[int]:
     return [_hashed("/".join(b.path) + "\0" + b.text) for b in found]
 
 
-def _single(page: Wrapper, out: set[tuple[str, str]], path: str = "") -> set[tuple[str, str]]:
-    """Paths and texts of the nodes that aren't repeated."""
-    for p in page[4]:
-        at = f"{path}/{p[0]}"
-        if not p[1] and p[2]:
-            out.add((at, p[2]))
-        _single(p, out, at)
-    return out
-
-
-def countable(found: list[Block]) -> list[int]:
-    """The entries that can be constant."""
-    single = _single(folded(found), set())
-    return [e for b, e in zip(found, entries(found), strict=True) if ("/" + "/".join(b.path), b.text) in single]
-
-
 def main_text(page: str | None, wrapper: Wrapper | None, constants: frozenset[int] = frozenset()) -> str:
     found, _ = blocks(page or "")
     if wrapper is None or not constants or not _slots(wrapper):
         return "\n".join(b.text for b in found)
-    can = constants.intersection(countable(found))
-    return "\n".join(b.text for b, e in zip(found, entries(found), strict=True) if e not in can)
+    return "\n".join(b.text for b, e in zip(found, entries(found), strict=True) if e not in constants)
 
 
 def _host():
@@ -328,11 +312,11 @@ def counted(pages: DataFrame) -> DataFrame:
             out: list[tuple[str, int, bytes]] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, _ = blocks(page)
-                every = np.array(entries(found), np.int64).tobytes()
-                sign = int.from_bytes(hashlib.blake2b(every, digest_size=8).digest(), "little", signed=True)
+                every = np.array(entries(found), np.int64)
+                sign = int.from_bytes(hashlib.blake2b(every.tobytes(), digest_size=8).digest(), "little", signed=True)
                 if found and (host, sign) not in seen:
                     seen.add((host, sign))
-                    out.append((host, sign, np.unique(np.array(countable(found), np.int64)).tobytes()))
+                    out.append((host, sign, np.unique(every).tobytes()))
             if len(seen) > COUNTERS:
                 seen.clear()
             if out:

@@ -293,6 +293,20 @@ def test_constants_after_many_varied_blocks_are_found(spark):
         assert len(text.split("\n")) == 90 and "rights" not in text and "Top" not in text
 
 
+def test_repeated_runs_can_be_template(spark):
+    page = "<body><ul><li>Home<li>About<li>Contact</ul><div><h1>Title {0}</h1><p>story {0}<p>more {0}<ul><li>point {0}<li>end {0}</ul></div><div><p>Made by us<p>All rights kept</div>"
+    rows = [(i, f"http://h/{i}", page.format(i % 12)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in wrapper.extract(pages, wrapper.induce(pages)).collect()}
+    assert out == {i: "Title {0}\nstory {0}\nmore {0}\npoint {0}\nend {0}".format(i % 12) for i in range(30)}
+
+
+def test_copies_beside_another_page_keep_their_text(spark):
+    rows = [(i, "http://h/", "<div><p>one<p>two</div>") for i in range(99)] + [(99, "http://h/", "<div><p>three<p>four</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in wrapper.extract(pages, wrapper.induce(pages)).collect()} == {"one\ntwo", "three\nfour"}
+
+
 def test_merging_is_independent_of_the_split():
     own = [wrapper.folded(wrapper.blocks(f"<div>c</div><ul><li>{i}<li>x</ul><p>{'v' * i}</p>")[0]) for i in range(1, 7)]
     one = own[0]
