@@ -243,38 +243,38 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_article_without_the_rest():
-    assert wrapper.main_text(PAGE, None) == "A & B\nFirst text more\nSecond one"
+    assert wrapper.main_text(PAGE) == "A & B\nFirst text more\nSecond one"
 
 
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<div>a<span>b</span> c</div>d", "ab c\nd"), ("<nav>x</nav>", ""), ("<div class='site-header'>x</div><div class='post header'>y</div><div id=main-menu>z</div>", "y"), ("a < b &lt; c", "a < b < c"), ("<!-- x", ""), ("<script>x", ""), ("<ul><li>a<li>b<ul><li>c</ul></ul>", "a\nb\nc"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc")])
 def test_broken_markup(page, text):
-    assert wrapper.main_text(page, None) == text
+    assert wrapper.main_text(page) == text
 
 
 @pytest.mark.parametrize("page", ["<body class='no-sidebar'><article><p>x</article>", "<body class='menu'><p>x", "<div class='content with-sidebar'><p>x</div>", "<article class='post has-comments'>x</article>", "<article class='post social-science'>x</article>", "<main class=search>x</main>", "<div id=menu class=banner><article>x</article></div>", "<div class=related><article>y</article></div><article>x</article>", "<html class=cookie><body role=search>x"])
 def test_names_do_not_drop_the_article(page):
-    assert wrapper.main_text(page, None) == "x"
+    assert wrapper.main_text(page) == "x"
 
 
 @pytest.mark.parametrize("inner", ["<svg viewBox='0 0 1 1'/>", "<math/>", "<SVG />", "<svg><path d='M0'/><title>icon</title></svg>", "<svg><title/></svg>", "<svg><style/></svg>", "<svg><g>", "<math><mi>y</mi>", "<select><option>o", "<select><option>o</select>", "<template>t</template>", "<noscript>n</noscript>", "<svg><foreignObject><p>f</p></foreignObject></svg>"])
 def test_embedded_elements_do_not_cut_the_page(inner):
-    assert wrapper.main_text(f"<article><p>a</p>{inner}<p>b</p></article>", None) == "a\nb"
-    assert wrapper.main_text(f"<div>{inner}</div><article><p>a</p><p>b</p></article>", None) == "a\nb"
+    assert wrapper.main_text(f"<article><p>a</p>{inner}<p>b</p></article>") == "a\nb"
+    assert wrapper.main_text(f"<div>{inner}</div><article><p>a</p><p>b</p></article>") == "a\nb"
 
 
 def test_wrappers_tell_constants_from_slots(spark):
     page = "<body><div class=top>Welcome to our site</div><div class=body><p>story {0}<p>more {0} words</div><div class=low>All rights kept</div></body>"
     rows = [(i, f"http://h{i % 2}.org/{i}", page.format(i)) for i in range(20)] + [(99, None, page.format(99)), (100, "http://h1.org/x", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'z' as host", "'y' as wrapper")
-    out = {r["page_id"]: r["text"] for r in wrapper.extract(pages, wrapper.induce(pages)).collect()}
+    out = {r["page_id"]: r["text"] for r in wrapper.main_texts(pages).collect()}
     assert out[3] == "story 3\nmore 3 words" and out[100] == ""
     assert out[99] == "Welcome to our site\nstory 99\nmore 99 words\nAll rights kept"  # too few pages to tell
-    assert wrapper.extract(pages.limit(0), wrapper.induce(pages.limit(0))).count() == 0
+    assert wrapper.main_texts(pages.limit(0)).count() == 0
 
 
 def test_copies_of_one_article_keep_it(spark):
     pages = spark.createDataFrame([(i, "http://h/", "<article><h1>T</h1><p>same</article>") for i in range(9)], "page_id long, url string, html string")
-    assert {r["text"] for r in wrapper.extract(pages, wrapper.induce(pages)).collect()} == {"T\nsame"}
+    assert {r["text"] for r in wrapper.main_texts(pages).collect()} == {"T\nsame"}
 
 
 def test_constants_after_many_varied_blocks_are_found(spark):
@@ -287,7 +287,7 @@ def test_constants_after_many_varied_blocks_are_found(spark):
     results = []
     for split in (1, 3, 8):
         dealt = pages.repartition(split)
-        results.append({r["page_id"]: r["text"] for r in wrapper.extract(dealt, wrapper.induce(dealt)).collect()})
+        results.append({r["page_id"]: r["text"] for r in wrapper.main_texts(dealt).collect()})
     assert results[0] == results[1] == results[2] and len(results[0]) == 24
     for text in results[0].values():
         assert len(text.split("\n")) == 90 and "rights" not in text and "Top" not in text
@@ -297,23 +297,108 @@ def test_repeated_runs_can_be_template(spark):
     page = "<body><ul><li>Home<li>About<li>Contact</ul><div><h1>Title {0}</h1><p>story {0}<p>more {0}<ul><li>point {0}<li>end {0}</ul></div><div><p>Made by us<p>All rights kept</div>"
     rows = [(i, f"http://h/{i}", page.format(i % 12)) for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    out = {r["page_id"]: r["text"] for r in wrapper.extract(pages, wrapper.induce(pages)).collect()}
+    out = {r["page_id"]: r["text"] for r in wrapper.main_texts(pages).collect()}
     assert out == {i: "Title {0}\nstory {0}\nmore {0}\npoint {0}\nend {0}".format(i % 12) for i in range(30)}
 
 
 def test_copies_beside_another_page_keep_their_text(spark):
     rows = [(i, "http://h/", "<div><p>one<p>two</div>") for i in range(99)] + [(99, "http://h/", "<div><p>three<p>four</div>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r["text"] for r in wrapper.extract(pages, wrapper.induce(pages)).collect()} == {"one\ntwo", "three\nfour"}
+    assert {r["text"] for r in wrapper.main_texts(pages).collect()} == {"one\ntwo", "three\nfour"}
 
 
-def test_merging_is_independent_of_the_split():
-    own = [wrapper.folded(wrapper.blocks(f"<div>c</div><ul><li>{i}<li>x</ul><p>{'v' * i}</p>")[0]) for i in range(1, 7)]
-    one = own[0]
-    for w in own[1:]:
-        one = wrapper.merge(one, w)
-    two = wrapper.merge(wrapper.merge(own[0], wrapper.merge(own[1], own[2])), wrapper.merge(wrapper.merge(own[3], own[4]), own[5]))
-    assert json.dumps(one) == json.dumps(two) and one[3] == 6
+def plain_match(a, b):
+    """Simple tree matching by its definition, on (label, children) trees."""
+    if a[0] != b[0]:
+        return 0
+    x, y = a[1], b[1]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_match(x[i], y[j]))
+    return 1 + best[-1][-1]
+
+
+def folded_tree(page, node=0):
+    return page.labels[node], [folded_tree(page, r[0]) for r in page.runs[node]]
+
+
+def random_page(rng, depth=0):
+    out = "".join(f"<{t}>{random_page(rng, depth + 1) if depth < 3 and rng.random() < 0.6 else 'x'}</{t}>" for t in rng.choices(["div", "section", "h2", "pre"], k=rng.randrange(1, 5)))
+    return out + ("" if depth else "<div>end</div>")
+
+
+def test_matching_equals_its_definition():
+    rng = random.Random(12)
+    for _ in range(300):
+        a, b = wrapper.read(random_page(rng)), wrapper.read(random_page(rng))
+        matcher = wrapper.Matcher(wrapper.Template.of(b))
+        assert matcher.score(a, 0, 0) == plain_match(folded_tree(a), folded_tree(b))
+        matched = matcher.keys(a)
+        partners = {matched[r[0]] for x in range(len(a.labels)) for r in a.runs[x] if 0 < matched[r[0]] <= len(b.labels)}
+        assert len(partners) + 1 == plain_match(folded_tree(a), folded_tree(b))
+
+
+@pytest.mark.parametrize("page, text", [("<body class='has-sidebar'><article><p>Hello world", "Hello world"), ("<article class='post comments-open'><p>a</p></article>", "a"), ("<div class='entry share-enabled'><p>b</p></div>", "b"), ("The <a class='search'>engine</a> is", "The engine is"), ("<div class=search><h1>All</h1><p>of the text stands here</div>", "All\nof the text stands here"), ("<div class=search>a box</div><p>and a text beside it that is longer", "and a text beside it that is longer"), ("<ul><li><a href=/>Home</a><li><a href=/b>About</a></ul><p>text", "text"), ("<article><ul><li><a href=/>One</a><li><a href=/b>Two</a></ul></article>", "One\nTwo"), ("<div role=main><p>in</p></div><div>out</div>", "in")])
+def test_names_are_no_last_word(spark, page, text):
+    assert wrapper.main_text(page) == text
+    pages = spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")
+    assert [r["text"] for r in wrapper.main_texts(pages).collect()] == [text]
+
+
+def test_names_are_judged_over_the_host(spark):
+    """One page of the host has a short text beside the named element; over all pages that element holds the text."""
+    rows = [(i, f"http://h/{i}", f"<div class=related><h1>Title {i}</h1><p>{'words of story %d ' % i * 30}</div><div>{'by %d' % i}</div>") for i in range(8)]
+    pages = spark.createDataFrame([*rows, (9, "http://h/9", f"<div class=related><h1>Short 9</h1></div><div>{'by 9 ' * 9}</div>")], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in wrapper.main_texts(pages).collect()}
+    assert out[3].startswith("Title 3\nwords of story 3") and out[9].startswith("Short 9\nby 9")
+    assert not wrapper.main_text(rows[0][2].replace("words of story 0 ", "")).startswith("Title")
+
+
+def unmarked_host(rng, n):
+    """Pages without telling names: a frame of plain elements around stories of different structure."""
+    rows, texts = [], {}
+    for i in range(n):
+        story = [(rng.choice(["h2", "p", "p", "p", "blockquote", "pre"]), f"story {i} part {k} {rng.random()}") for k in range(rng.randrange(1, 12))]
+        related = "".join(f"<li><a href=/{j}>Story number {j}</a>" for j in rng.sample(range(1000), 4))
+        frame = "<div><p>Our paper</p><p>Since 1900</p></div>{0}<ul>{1}</ul><div><p>Read more</p><address>All rights kept</address></div>"
+        body = "<section>" + "".join(f"<{t}>{x}</{t}>" for t, x in story) + ("<p>Read more</p>" if i == 0 else "") + "</section>"
+        rows.append((i, f"http://h/{i}", frame.format(body, related)))
+        texts[i] = "\n".join(x for _, x in story) + ("\nRead more" if i == 0 else "")
+    return rows, texts
+
+
+def test_the_wrapper_decides_on_unmarked_pages(spark):
+    rows, texts = unmarked_host(random.Random(4), 30)
+    results = []
+    for split in (1, 7, 50):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(split)
+        results.append({r["page_id"]: r["text"] for r in wrapper.main_texts(pages).collect()})
+    assert results[0] == results[1] == results[2] == texts
+    alone = {i: wrapper.main_text(html) for i, _, html in rows}
+    assert all(alone[i] != texts[i] for i in texts)  # without the host's other pages the frame stays
+
+
+def test_two_pages_tell_a_frame(spark):
+    rows, texts = unmarked_host(random.Random(5), 2)
+    rows = [(i, u, h.replace("<section>", f"<section><p>{'a long first paragraph %d ' % i * 20}</p>")) for i, u, h in rows]
+    out = {r["page_id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i].startswith("a long first") and out[i].endswith(texts[i]) for i in texts)
+    near = [(i, "http://n/", f"<div><p>{'the same words ' * 30}</p><p>{i}</p></div>") for i in range(2)]  # copies with a change
+    out = [r["text"] for r in wrapper.main_texts(spark.createDataFrame(near, "page_id long, url string, html string")).collect()]
+    assert all(t.startswith("the same words") for t in out)
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 10_000 + "low" + "</div>" * 10_000
+    other = "<div>" * 9_000 + "<p>a</p>" + "</div>" * 5_000 + "<p>high</p>"
+    rng = random.Random(3)
+    wide = ["".join(f"<{t}>w{k}</{t}>" for k, t in enumerate(rng.choices(["h2", "p", "pre"], k=10_000))) for _ in range(2)]
+    inline = "<p>" + "<b>" * 20_000 + "x" + "<li>y" * 2_000
+    rows = [(i, "http://h/", h) for i, h in enumerate([deep, other, *wide, inline])]
+    out = {r["page_id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0] == "low" and out[1] == "a\nhigh" and out[2].count("\n") == out[3].count("\n") == 9_999 and out[4].startswith("x\ny")
+
 
 
 # Personal data
