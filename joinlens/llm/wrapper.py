@@ -568,7 +568,7 @@ def extract(blocks: DataFrame, wrappers: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     blocks = saved(align(pages, saved(templates(pages), "templates")), "blocks")
-    return extract(blocks, induce(blocks))
+    return extract(blocks, saved(induce(blocks), "wrappers"))
 
 
 def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
