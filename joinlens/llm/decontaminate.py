@@ -9,8 +9,8 @@ UTF-8 bytes. The edit budget is EDITS of a passage's length, less where the lemm
 passages shorter than q are only found exactly.
 
 Cases: null text is empty; empty benchmark texts, and those without a word, match nothing. Repeated items
-or rows each give their rows. A passage is reported once for each document: its best region, the first of
-equal ones. Empty tables give no rows. Other columns are ignored.
+or rows each give their rows, rows with a null id too. A passage is reported once for each document: its best region, the first of
+equal ones. Empty tables give no rows. Other columns are ignored (``cleaned`` keeps them).
 """
 
 from __future__ import annotations
@@ -165,41 +165,66 @@ def _bands(at: np.ndarray, left: np.ndarray, n: np.ndarray, index: Index) -> Ite
         yield j, band * h, band * h + 2 * h - 1
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """doc_id, item_id, start, length, edits (in normalised bytes) for every document and benchmark passage in it."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The stated query set, blocks of about BLOCK_BYTES; the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of(benchmark).alias("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    out = None
     block: list[tuple] = []
     size = 0
+    for r in items.toLocalIterator():
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"]) + 1
+        if size > BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
 
-    def passed(block: list[tuple]) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """doc_id, item_id, start, length, edits (in normalised bytes) for every document and benchmark passage in it.
+
+    One pass over the documents for each block, each saved before the next; only one block's index is broadcast at a time.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    out = None
+    for block in _blocks(benchmark):
         index = spark.sparkContext.broadcast(build(block, edits))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             for batch in steps(batches, "text"):
                 got = [(d, own.ids[j], s, n, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for j, s, n, e in occurrences(normalised(t), own)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], [f.split()[0] for f in HITS.split(", ")])
 
-        return rows.mapInArrow(run, HITS)
+        found = saved(rows.mapInArrow(run, HITS), "hits")
+        index.destroy()
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], HITS) if out is None else out
 
-    for r in items.toLocalIterator():  # the stated query set, a block of bounded size at a time
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"]) + 1
-        if size > BLOCK_BYTES:
-            out, block, size = passed(block) if out is None else out.unionByName(passed(block)), [], 0
-    if block or out is None:
-        out = passed(block) if out is None else out.unionByName(passed(block))
-    return out
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """The rows and columns of the documents without those whose text has a benchmark passage; each row is judged by its own text, whatever its id.
+
+    A pass over what the blocks before left, for each block; only one block's index is broadcast at a time.
+    """
+    spark = docs.sparkSession
+    place = docs.columns.index("text")
+    if docs.schema[place].dataType.typeName() != "string":
+        docs = docs.withColumn("text", F.col("text").cast("string"))
+    for block in _blocks(benchmark):
+        index = spark.sparkContext.broadcast(build(block, edits))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in steps(batches, "text"):
+                keep = [not t or not occurrences(normalised(t), index.value) for t in batch.column(place).to_pylist()]
+                if any(keep):
+                    yield batch.filter(pa.array(keep, pa.bool_()))
 
-def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a benchmark passage."""
-    ids = saved(contaminated(docs.where("doc_id is not null"), benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_anti")
+        docs = saved(docs.mapInArrow(run, docs.schema), "clean")
+        index.destroy()
+    return docs
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

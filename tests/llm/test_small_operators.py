@@ -525,6 +525,54 @@ def test_edited_passages_are_found(make, spark):
     assert decontaminate.contaminated(make(rows), benchmark.limit(0)).count() == 0
 
 
+def sellers(pattern, text):
+    """The least edits of the pattern over all regions of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_occurrences_equal_the_search_of_all_regions():
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(2, 6)))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(2, 16)))) for i in range(25)]
+    index = decontaminate.build(items, 0.1)
+    hits = 0
+    for _ in range(60):
+        text = " ".join(word() for _ in range(rng.randrange(0, 30)))
+        for _ in range(rng.randrange(3)):
+            piece = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(piece))
+                piece[at : at + 1] = rng.choice([["q"], [], [piece[at], "z"]])
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + "".join(piece) + text[at:]
+        data = decontaminate.normalised(text)
+        expected = {j: e for j, t in enumerate(index.texts) if (e := sellers(t, data)) <= (index.budget[j] if len(t) >= decontaminate.Q else 0)}
+        assert {j: e for j, _, _, e in decontaminate.occurrences(data, index)} == expected
+        hits += len(expected)
+    assert hits > 30
+
+
+def test_rows_without_an_id_and_long_texts(make, spark, monkeypatch):
+    rng = random.Random(2)
+    items = [(i, "".join(rng.choices("abcdefghij ", k=80))) for i in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, items[2][1]), (None, "clean"), (1, f"before {items[0][1]} after"), (1, "clean too"), (2, None), (3, "word " * 60_000 + items[5][1]), (4, "word " * 60_000)]
+    docs = make(rows).selectExpr("*", "1 as item_id", "2 as start")
+    for size in (2_000_000, 100):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        left = decontaminate.cleaned(docs, benchmark)
+        assert left.columns == docs.columns
+        assert sorted((str(r["doc_id"]), (r["text"] or "")[:9]) for r in left.collect()) == [("1", "clean too"), ("2", ""), ("4", "word word"), ("None", "clean")]
+        got = decontaminate.contaminated(docs, benchmark).collect()
+        assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("1", 0), ("3", 5), ("None", 2)]
+
+
 def test_banded_alignment_equals_the_full_table():
     rng = random.Random(3)
     for _ in range(60):
