@@ -39,18 +39,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def parse(text: str, phrases: set[str] | None = None, phrase: str = "", base: int = 0) -> tuple[list[int], set[str], str]:
-    """Ends of the phrases in the text (plus ``base``), the phrases, and the open phrase at the end. Can go on from an earlier state."""
-    known = set() if phrases is None else phrases
+_CHILD = 1 << 21  # a node's number times this, plus a code point, is the key of its child
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def parse(text: str, trie: dict[int, int] | None = None, node: int = 0, base: int = 0) -> tuple[list[int], dict[int, int], int]:
+    """Ends of the phrases in the text (plus ``base``), the trie of phrases, and the node of the open phrase at the end (0: none).
+
+    A step for each code point, however long the phrases. Can go on from an earlier state.
+    """
+    trie = {} if trie is None else trie
     ends: list[int] = []
-    end, add = ends.append, known.add
-    for i, c in enumerate(text, base + 1):
-        phrase += c
-        if phrase not in known:
-            add(phrase)
+    end, get, new = ends.append, trie.get, len(trie) * _CHILD
+    for i, c in enumerate(_codes(text).tolist(), base + 1):
+        key = node + c
+        node = get(key)
+        if node is None:
+            new += _CHILD
+            trie[key] = new
             end(i)
-            phrase = ""
-    return ends, known, phrase
+            node = 0
+    return ends, trie, node
 
 
 def smallest(text: str, ends: list[int], size: int = SIZE) -> np.ndarray:
@@ -59,7 +71,7 @@ def smallest(text: str, ends: list[int], size: int = SIZE) -> np.ndarray:
         return np.zeros(0, np.uint32)
     up, down = _powers(len(text) + 1)
     with np.errstate(over="ignore"):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        codes = _codes(text).astype(np.uint64) + np.uint64(1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)])])
         stops = np.array(ends or [len(text)], np.int64)
         begins = np.concatenate([np.zeros(1, np.int64), stops[:-1]])
@@ -91,12 +103,12 @@ def edited_pair(text: str, after: str, size: int = SIZE) -> tuple[np.ndarray, np
     q = len(text) // 4
     keep = text[: len(text) - q]
     edited = keep + after[:q]
-    ends, known, phrase = parse(keep)
+    ends, known, node = parse(keep)
     if not q:
         values = smallest(text, ends, size)
         return values, values, edited
-    more, _, _ = parse(text[len(keep) :], set(known), phrase, len(keep))
-    others, _, _ = parse(edited[len(keep) :], known, phrase, len(keep))
+    more, _, _ = parse(text[len(keep) :], dict(known), node, len(keep))
+    others, _, _ = parse(edited[len(keep) :], known, node, len(keep))
     return smallest(text, ends + more, size), smallest(edited, ends + others, size), edited
 
 
@@ -106,15 +118,23 @@ FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def compare_with_next(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Every document against its edited text and the next document, in ascending doc_id.
 
-    The rows are dealt into ranges of doc_id with about equal bytes, each sorted; a range also gets the first
-    document of the one after it, as that document is the successor of its last.
+    The rows are dealt into ranges with about equal numbers of rows, each sorted: ranges of doc_id, and for rows without an id ranges of
+    their texts' hashes. A range also gets the first document of the one after it, as that document is the successor of its last.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    text = text_of(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # Rows of one id are in the order of h; that of rows without an id begins with the number n.
+    rows = rows.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.when(F.col("doc_id").isNull(), F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long")).otherwise(-1).alias("n"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.select("k").where("doc_id is not null").approxQuantile("k", [i / parts for i in range(1, parts)], 1 / (20 * parts)) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    dealt = rows.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("k") > c)) if cuts else F.lit(0))
+    share = rows.agg(F.count("*").alias("all"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    first_parts = -(-parts * share["nulls"] // share["all"]) if share["nulls"] else 0  # ranges without an id
+    cuts = {}
+    for column, ranges, which in (("n", first_parts, "doc_id is null"), ("k", max(1, parts - first_parts), "doc_id is not null")):
+        found = rows.where(which).approxQuantile(column, [i / ranges for i in range(1, ranges)], 1 / (20 * ranges)) if ranges > 1 else []
+        cuts[column] = sorted({int(c) for c in found})
+    above = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts[c])), lambda x: F.col(c) > x)) if cuts[c] else F.lit(0)
+    dealt = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), above("n")).otherwise(above("k") + (len(cuts["n"]) + 1)))
     # A row for each range: the driver links every range to the one before it.
     firsts = dealt.groupBy("bucket").agg(F.min(F.struct("k", F.sha2("text", 256).alias("h"))).alias("f")).orderBy("bucket").collect()
     if not firsts:
