@@ -1,8 +1,8 @@
 """WARC archives, index first.
 
 Writing makes one gzip member for each record, in files of bounded size, and an index row for each
-record: file, offset, length, URL and digest. Reading takes index rows (all or selected ones), sorts them
-by file and offset, joins close byte ranges into one read, and parses the records.
+record: file, offset, length, URL and digest. Reading takes index rows (all or selected ones), deals stretches of the files to as many
+tasks as their bytes ask for, sorts the rows by file and offset, joins close byte ranges into one read, and parses the records.
 
 Records with equal payloads of at least ``least`` bytes are written once: the smallest page_id's record is
 the response, the others are revisits that refer to it.
@@ -33,14 +33,23 @@ FILE_BYTES = 64 << 20
 #: Ranges this close are read together, up to READ_BYTES at once.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Bytes of archives that one task reads, about.
+TASK_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, Spark's default one if it names none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri)
 
 
 def _name(page_id: int | None) -> str:
@@ -83,6 +92,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_SHARED) -> DataFrame
     Each attempt of a task writes files under new names, and only the index of the attempt that counted
     names them, so a lost executor or a second attempt does no harm.
     """
+    folder = qualified(pages.sparkSession, folder)
     html = F.encode(text_of(pages, "html"), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
@@ -118,7 +128,9 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_SHARED) -> DataFrame
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """The records that the index rows name."""
+    """The records that the index rows name. Tasks are as many as the records' bytes ask for, not the index's."""
+    spark = index.sparkSession
+    folder = qualified(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _filesystem(folder)
@@ -150,7 +162,10 @@ def read(index: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    ordered = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    stretch = F.floor(F.col("offset") / READ_BYTES)
+    ordered = index.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, RECORD)
 
 
