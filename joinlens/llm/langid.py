@@ -6,6 +6,9 @@ largest cosine. A text that is too far from that centroid is rejected. How far i
 the text's length: any text's cosine grows with its length, so the limit lies between what a text of that length
 gets by chance (its counts spread over random bins) and what texts of the language get that weren't fitted on.
 
+Centroids and limits are fitted by a task for each language; the driver gets these (80 KB a language), never texts. All values of
+lang are learned, however many.
+
 Cases: null text or a text without a letter gives ``und``, score 0, rejected. With no usable training
 row every text is ``und``. Null languages are never learned. Repeated rows each give a row. Rows with a
 null ``doc_id`` are predicted but never learned from. Other columns of the input are ignored.
@@ -22,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinlens.llm.common import joined_bytes, steps, table
+from joinlens.llm.common import joined_bytes, saved, steps, table
 
 BINS = 4096
 #: Bound of the sample that the centroids are fitted on, in documents of each language.
 MAX_PER_LANGUAGE = 600
-#: Bound of the number of languages, the commonest first.
-MAX_LANGUAGES = 256
 CENTROIDS = 4
 #: Where the rejection limit lies between chance (0) and the lower end of the language's own texts (1), in ratios.
 STRICTNESS = 0.6
@@ -171,30 +172,45 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return np.vstack([centre, mean / max(np.linalg.norm(mean), 1e-9)])
 
 
+def _bins_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows fill each bin, and how many rows there are (bin -1)."""
+    seen, n = np.zeros(BINS, np.int64), 0
+    for batch in batches:
+        for c in batch.column(0).to_pylist():
+            seen += np.frombuffer(c, np.float32) > 0
+            n += 1
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BINS, dtype=np.int32)), pa.array(np.append(n, seen))], ["bin", "n"])
+
+
 def fit(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
-    """Learn from rows with a language and an id. The driver sees ``per_language`` rows of each language or about as many."""
+    """Learn from rows with a language and an id, ``per_language`` of each language or about as many."""
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    sizes = saved(rows.groupBy("lang").count(), "languages")
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")) * 1_000_003
+    sample = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share)
+    counted = saved(sample.select("lang", "text").mapInArrow(_count_rows, "lang string, counts binary"), "trigrams")
+    filled = {r["bin"]: r["n"] for r in counted.select("counts").mapInArrow(_bins_with, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    if not filled.get(-1):
         return Model((), np.ones(BINS, np.float32), np.zeros((0, BINS), np.float32), np.zeros(0, np.int64), np.zeros((0, SIZES)))
-    rate = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(rate, F.col("lang")) * 1_000_003)
-    got = sample.select("lang", "text").mapInArrow(_count_rows, "lang string, counts binary").toPandas()
-    got = got.sort_values(["lang", "counts"], kind="stable")
-    counts = np.stack([np.frombuffer(c, np.float32) for c in got["counts"]]) if len(got) else np.zeros((0, BINS), np.float32)
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    x, names = _vectors(counts, idf), got["lang"].to_numpy()
-    languages = tuple(sorted(set(names)))
-    parts = [_cluster(x[names == lang], centroids) for lang in languages]
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    lower = np.array([_lower_end(counts[names == lang], idf, centroids) for lang in languages]).reshape(-1, SIZES)
-    return Model(languages, idf, np.vstack(parts).astype(np.float32) if parts else np.zeros((0, BINS), np.float32), owner, lower)
+    idf = (np.log((1 + filled[-1]) / (1 + np.array([filled[i] for i in range(BINS)]))) + 1).astype(np.float32)
+
+    def fitted(key: tuple, group: pa.Table) -> pa.Table:
+        counts = np.stack([np.frombuffer(c, np.float32) for c in sorted(group["counts"].to_pylist())])
+        centre = _cluster(_vectors(counts, idf), centroids).astype(np.float32)
+        return pa.table({"lang": [key[0].as_py()], "centroids": [centre.tobytes()], "lower": [_lower_end(counts, idf, centroids).tobytes()]})
+
+    parts = counted.groupBy("lang").applyInArrow(fitted, "lang string, centroids binary, lower binary").orderBy("lang").collect()
+    centres = [np.frombuffer(r["centroids"], np.float32).reshape(-1, BINS) for r in parts]
+    owner = np.repeat(np.arange(len(parts)), [len(c) for c in centres])
+    return Model(tuple(r["lang"] for r in parts), idf, np.vstack(centres), owner, np.array([np.frombuffer(r["lower"], float) for r in parts]).reshape(-1, SIZES))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Adds nothing to the rows but: doc_id, lang_pred, score, rejected."""
+    kept = docs.sparkSession.sparkContext.broadcast(model)  # 80 KB a language
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = kept.value
         for batch in steps(batches, "text"):
             texts, data, starts = _lowered(batch)
             known = np.array([has_letter(t) for t in texts]) & bool(model.languages)
@@ -212,8 +228,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The same rows and columns without those that are rejected. Without a model (nothing to learn from) only texts without a letter go."""
     place = docs.columns.index("text")
+    kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = kept.value
         for batch in steps(batches, "text"):
             texts, data, starts = _lowered(batch)
             keep = np.array([has_letter(t) for t in texts])

@@ -39,10 +39,34 @@ def test_edited_texts_and_neighbours(make):
 @given(st.text(max_size=200))
 @settings(max_examples=50, deadline=None)
 def test_phrases_cover_the_text_once(text):
-    ends, phrases, left = lzprint.parse(text)
+    ends, trie, node = lzprint.parse(text)
     parts = [text[a:b] for a, b in zip([0, *ends], ends)]
-    assert len(set(parts)) == len(parts) == len(phrases) and set(parts) == phrases
-    assert "".join(parts) + left == text
+    left = text[ends[-1] if ends else 0 :]
+    assert len(set(parts)) == len(parts) == len(trie) and all(p[:-1] in {"", *parts} for p in parts)
+    assert (left in parts) == bool(node) and (not left or node)
+    plain, phrase = [], ""  # the parse by its definition
+    for c in text:
+        phrase += c
+        if phrase not in plain:
+            plain.append(phrase)
+            phrase = ""
+    assert parts == plain and left == phrase
+
+
+def test_rows_without_an_id_are_dealt_too(make, spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdef ", k=40)) for _ in range(300)]
+    rows = [(None, t) for t in texts[:200]] + [(7, t) for t in texts[200:220]] + [(100 + i, t) for i, t in enumerate(texts[220:])]
+    out = lzprint.compare_with_next(make(rows).repartition(5))
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], hashlib.sha256(r[1].encode()).hexdigest()))
+    expected = sorted((r[0] or -1, lzprint.written(lzprint.fingerprint(r[1])), lzprint.likeness(lzprint.fingerprint(r[1]), lzprint.fingerprint(n[1]))) for r, n in zip(order, order[1:] + order[:1]))
+    assert sorted((r["doc_id"] or -1, r["fingerprint"], r["near_next"]) for r in out.collect()) == expected
+
+
+def test_repetitive_and_long_texts_take_seconds(make):
+    began = time.perf_counter()
+    r = lzprint.compare_with_next(make([(1, "a" * 3_000_000), (2, "ab" * 1_000_000), (3, None)])).collect()
+    assert len(r) == 3 and time.perf_counter() - began < 60
 
 
 def test_one_and_no_document_has_a_successor(make):
@@ -172,6 +196,58 @@ def test_rejection_at_every_length(make, spark):
         assert langid.accepted(make(list(enumerate(cuts))), model).count() >= 0.98 * len(cuts)
 
 
+def test_every_language_is_learned(make, spark):
+    """More languages than fit a list of the commonest; each has two words of its own."""
+    rng = random.Random(15)
+    words = {f"l{i}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(2)] for i in range(300)}
+    rows = [(k * 400 + i, " ".join(rng.choices(words[f"l{i}"], k=12)), f"l{i}") for i in range(300) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as count", "2 as counts")
+    model = langid.fit(docs)
+    assert len(model.languages) == 300
+    out = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert out.where("lang = lang_pred").count() == 600
+
+
+def test_centroids_equal_the_plain_form(make, spark):
+    """Predictions against an arrangement of the same steps with dictionaries."""
+    rng = random.Random(16)
+    base = {"en": "the quick brown fox and lazy dogs there were", "fr": "le renard brun et les chiens paresseux étaient", "de": "der schnelle braune Fuchs und die faulen Hunde"}
+    train = [(i, " ".join(rng.choices(base[lang].split(), k=9)), lang) for i, lang in enumerate(list(base) * 20)]
+    docs = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = langid.fit(docs, centroids=1)
+
+    def vector(text, idf):
+        data = bytes(langid._FOLD[np.frombuffer((" " + text.lower() + " ").encode(), np.uint8)])
+        counts = {}
+        for i in range(len(data) - 2):
+            if data[i : i + 3] != b"   ":
+                h = (int.from_bytes(data[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 20
+                counts[h] = counts.get(h, 0) + 1
+        v = {h: n**0.5 * idf.get(h, 0) for h, n in counts.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {h: x / norm for h, x in v.items()}
+
+    n = len(train)
+    one = {}
+    for _, text, _ in train:
+        for h in vector(text, {h: 1 for h in range(langid.BINS)}):
+            one[h] = one.get(h, 0) + 1
+    idf = {h: np.log((1 + n) / (1 + one.get(h, 0))) + 1 for h in range(langid.BINS)}
+    centre = {}
+    for lang in base:
+        own = [vector(t, idf) for _, t, name in train if name == lang]
+        mean = {h: sum(v.get(h, 0) for v in own) for h in set().union(*own)}
+        norm = sum(x * x for x in mean.values()) ** 0.5
+        centre[lang] = {h: x / norm for h, x in mean.items()}
+    texts = [(i, " ".join(rng.choices(" ".join(base.values()).split(), k=6))) for i in range(60)]
+    out = {r["doc_id"]: r for r in langid.predict(make(texts), model).collect()}
+    for i, t in texts:
+        v = vector(t, idf)
+        cosine = {lang: sum(x * c.get(h, 0) for h, x in v.items()) for lang, c in centre.items()}
+        best = max(cosine, key=cosine.get)
+        assert out[i]["lang_pred"] == best and abs(out[i]["score"] - cosine[best]) < 1e-4
+
+
 def test_nothing_to_learn_from(make):
     rows = make([(1, "some text"), (2, None)], lang=None)
     model = langid.fit(rows)
