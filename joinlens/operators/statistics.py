@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +28,15 @@ class Statistics:
         return "__".join([table, *keys])
 
     def factor(self, alias: str, table: str, keys: dict[int, list[str]]) -> bound.Factor | None:
-        """The factor for one key of each group, from the stored one of exactly these keys or of more; None if there is none."""
+        """The factor for one key of each group, from the stored one of exactly these keys; None if there is none.
+
+        A factor of more keys wouldn't do: it leaves out the rows where another key is null.
+        """
         if not keys or any(len(c) > 1 for c in keys.values()):
             return None
-        own = tuple(sorted(c[0] for c in keys.values()))
-        found = self.tables.get(self._name(table, own))
+        found = self.tables.get(self._name(table, tuple(sorted(c[0] for c in keys.values()))))
         if found is None:
-            wider = [n for n in self.tables if n.split("__")[0] == table and set(own) <= set(n.split("__")[1:])]
-            if not wider:
-                return None
-            # A value's rows in several cells add up: the sum of the cells' modes is a bound of its mode.
-            found = self.tables[min(wider, key=len)].groupBy(*[f"bin_{k}" for k in own]).agg(F.sum("mass").alias("mass"), *[F.sum(f"mode_{k}").alias(f"mode_{k}") for k in own])
+            return None
         columns = [F.col(f"{part}_{c[0]}").alias(f"{part}_{g}") for g, c in sorted(keys.items()) for part in ("bin", "mode")]
         return bound.Factor(found.select(*columns, "mass"), tuple(sorted(keys)), frozenset({alias}))
 
@@ -51,14 +50,13 @@ def load(spark: SparkSession, folder: str) -> Statistics:
 
 
 def build(schema: SchemaGraph, tables: Callable[[str], DataFrame], bins: int = 64, names: list[str] | None = None) -> Statistics:
-    """Factors of each table's join keys, one by one and all together."""
+    """Factors of every set of each table's join keys: a row counts where the set's keys aren't null."""
     out = {}
     for t in sorted(names or schema.tables):
         keys = sorted({k for e in schema.edges for n, k in ((e.left, e.left_key), (e.right, e.right_key)) if n == t})
-        for own in dict.fromkeys([*((k,) for k in keys), tuple(keys)]):
-            if own:
-                f = bound.base_factor(tables(t), t, {i: [k] for i, k in enumerate(own)}, lambda g, c: modulo_bin(c, bins))
-                out[Statistics._name(t, own)] = f.df.select("mass", *[F.col(f"{part}_{i}").alias(f"{part}_{k}") for i, k in enumerate(own) for part in ("bin", "mode")])
+        for own in (s for n in range(1, len(keys) + 1) for s in combinations(keys, n)):
+            f = bound.base_factor(tables(t), t, {i: [k] for i, k in enumerate(own)}, lambda g, c: modulo_bin(c, bins))
+            out[Statistics._name(t, own)] = f.df.select("mass", *[F.col(f"{part}_{i}").alias(f"{part}_{k}") for i, k in enumerate(own) for part in ("bin", "mode")])
     return Statistics(bins, out)
 
 

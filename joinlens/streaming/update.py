@@ -6,10 +6,15 @@ approximate form merges bin modes alone. ``follow`` applies either to a stream,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from joinlens.operators import catalog
+from joinlens.schema import SchemaGraph
+
 
 def split_by_time(df: DataFrame, column: str, at: str) -> tuple[DataFrame, DataFrame]:
     """Rows before a time and the others; rows without a time are new."""
@@ -53,3 +58,37 @@ def follow(stream: DataFrame, key: str, table: str, checkpoint: str, trigger: di
 
 def read_version(spark, table: str, number: int) -> DataFrame:
     return spark.read.schema("value long, n long").parquet(f"{table}/v{number % 2}")
+
+
+# Catalogs (all stored models of a schema's tables)
+
+
+def train_and_update(schema: SchemaGraph, tables: Callable[[str], DataFrame], times: dict[str, str], at: str, bins: int = 64, names: list[str] | None = None) -> catalog.Catalog:
+    """Models of the rows before a time, then updated with the others. times: the time column of each table that has one."""
+    parts = {t: split_by_time(tables(t), c, at) for t, c in times.items()}
+    out = catalog.build(schema, lambda t: parts[t][0] if t in parts else tables(t), bins, names)
+    for t, (_, new) in sorted(parts.items()):
+        out = out.updated(t, new, schema)
+    return out
+
+
+def follow_catalog(stream: DataFrame, table: str, schema: SchemaGraph, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Add a stream's rows to a table's models, a version of the catalog for each batch; ``folder/v0`` is the start.
+
+    Batch N writes version N + 1 from version N, whatever was there, so a batch that runs again writes the same.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        rows = rows.persist()
+        catalog.load(spark, f"{folder}/v{number}").updated(table, rows, schema).save(spark, f"{folder}/v{number + 1}")
+        spark.createDataFrame([(number + 1,)], "version long").coalesce(1).write.mode("overwrite").json(f"{folder}/latest-{number + 1}")
+        rows.unpersist()
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_catalog(spark: SparkSession, folder: str) -> tuple[str, int]:
+    """Path and number of the newest version that is whole."""
+    number = spark.read.schema("version long").json(f"{folder}/latest-*").agg(F.max("version")).first()[0] or 0
+    return f"{folder}/v{number}", number
