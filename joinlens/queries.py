@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joinlens.functions import encode
-from joinlens.operators import aggregates, bayes, binning, bound, estimators, evaluate, factors, independence, predicates, sampling, statistics
+from joinlens.operators import aggregates, bayes, binning, bound, catalog, estimators, evaluate, factors, independence, predicates, sampling, statistics
 from joinlens.plans.parser import parse, parse_what_if
 from joinlens.schema import driver_schema, load, register
 from joinlens.streaming import update
@@ -120,7 +120,33 @@ def bin_assignment_with_unseen(spark, sf):
     return binning.assign(o, "o_custkey", m, "bin", unseen=10).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
 
 
-@query()
+def _greedy_sql(table: str, key: str, bins: int) -> str:
+    """The engine's own equal-frequency bins (CTEs k, g, m): values in ascending order of their counts; a bin closes when its rows exceed an equal share."""
+    return f"""RECURSIVE k AS (SELECT {key} AS value, COUNT(*) AS n FROM {table} WHERE {key} IS NOT NULL GROUP BY 1),
+h AS (SELECT n, COUNT(*) AS v, row_number() OVER (ORDER BY n) AS r, SUM(n * COUNT(*)) OVER () / {bins}.0 AS share FROM k GROUP BY n),
+g AS (SELECT r, n, 0 AS bin, CASE WHEN n * v > share AND 0 < {bins - 1} THEN 1 ELSE 0 END AS following, CASE WHEN n * v > share AND 0 < {bins - 1} THEN 0 ELSE n * v END AS held FROM h WHERE r = 1
+  UNION ALL SELECT h.r, h.n, g.following, CASE WHEN g.held + h.n * h.v > h.share AND g.following < {bins - 1} THEN g.following + 1 ELSE g.following END,
+    CASE WHEN g.held + h.n * h.v > h.share AND g.following < {bins - 1} THEN 0 ELSE g.held + h.n * h.v END FROM g JOIN h ON h.r = g.r + 1),
+m AS (SELECT k.value, g.bin FROM k JOIN g USING (n)), means AS (SELECT bin, AVG(n) AS mean FROM m JOIN k USING (value) GROUP BY 1)"""
+
+
+def _joined_bins_sql(start: tuple[str, str], other: tuple[str, str], bins: int) -> str:
+    """CTEs as above, and every value of both keys in its bin (all2): unseen values go to the nearest mean."""
+    return _greedy_sql(*start, bins) + f""", k2 AS (SELECT {other[1]} AS value, COUNT(*) AS n FROM {other[0]} WHERE {other[1]} IS NOT NULL GROUP BY 1),
+fresh AS (SELECT value, n FROM k2 WHERE value NOT IN (SELECT value FROM m)),
+nearest AS (SELECT n, bin, row_number() OVER (PARTITION BY n ORDER BY ABS(mean - n), mean, bin) AS r FROM (SELECT DISTINCT n FROM fresh) CROSS JOIN means),
+all2 AS (SELECT * FROM m UNION ALL SELECT value, bin FROM fresh JOIN nearest USING (n) WHERE r = 1)"""
+
+
+@query("WITH " + _greedy_sql("lineitem", "l_orderkey", 8) + " SELECT CAST(bin AS INT) AS bin, COUNT(*) AS width, CAST(SUM(n) AS BIGINT) AS mass, MAX(n) AS mfv FROM m JOIN k USING (value) GROUP BY 1")
+def greedy_frequency_bins(spark, sf):
+    """Equal-frequency bins as the engine cuts them."""
+    counts = binning.key_counts(load(spark, sf, "lineitem"), "l_orderkey")
+    return binning.equal_frequency_map(counts, 8).join(counts, "value").groupBy("bin").agg(F.count("*").alias("width"), F.sum("n").alias("mass"), F.max("n").alias("mfv"))
+
+
+@query("WITH " + _joined_bins_sql(("lineitem", "l_orderkey"), ("orders", "o_orderkey"), 16) + """ SELECT CAST(bin AS INT) AS bin, CAST(COALESCE(SUM(k.n), 0) AS BIGINT) AS mass_l, CAST(COALESCE(MAX(k.n), 0) AS BIGINT) AS mfv_l,
+  CAST(COALESCE(SUM(k2.n), 0) AS BIGINT) AS mass_o, CAST(COALESCE(MAX(k2.n), 0) AS BIGINT) AS mfv_o FROM all2 LEFT JOIN k USING (value) LEFT JOIN k2 USING (value) GROUP BY 1""")
 def greedy_joint_bins(spark, sf):
     """Joint bins of the order key group, and what each key has in them."""
     keys = [binning.key_counts(load(spark, sf, t), k) for t, k in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))]
@@ -228,22 +254,59 @@ def bound_chain_unscaled(spark, sf):
 STAR = "SELECT COUNT(*) FROM lineitem l, part p, supplier s WHERE l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey AND p.p_size <= 25"
 
 
-@query("SELECT COUNT(*) AS true_count, true AS is_bound FROM lineitem, part, supplier WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND p_size <= 25")
+def _cells_sql(table: str, k0: str, k1: str, bins: int, where: str = "true") -> str:
+    """Cells of a table over two keys: b0, b1, p, v0, v1."""
+    rows = f"(SELECT {k0} AS k0, {k1} AS k1, {k0} % {bins} AS b0, {k1} % {bins} AS b1 FROM {table} WHERE {k0} IS NOT NULL AND {k1} IS NOT NULL AND {where})"
+    mode = lambda k: f"(SELECT b0, b1, MAX(n) AS v{k} FROM (SELECT b0, b1, k{k}, COUNT(*) AS n FROM {rows} GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+    return f"(SELECT * FROM (SELECT b0, b1, COUNT(*) AS p FROM {rows} GROUP BY 1, 2) JOIN {mode(0)} USING (b0, b1) JOIN {mode(1)} USING (b0, b1))"
+
+
+def _side_sql(table: str, key: str, bins: int, where: str = "true") -> str:
+    """Cells of a table over one key: b, p, v."""
+    return f"(SELECT k % {bins} AS b, SUM(n) AS p, MAX(n) AS v FROM (SELECT {key} AS k, COUNT(*) AS n FROM {table} WHERE {key} IS NOT NULL AND {where} GROUP BY 1) GROUP BY 1)"
+
+
+def _star_sql(bins: int, centre: str = "true", first: str = "true") -> str:
+    """The part group goes first, then the supplier group."""
+    return f"""WITH o AS {_cells_sql("lineitem", "l_partkey", "l_suppkey", bins, centre)}, c AS {_side_sql("part", "p_partkey", bins, first)}, l AS {_side_sql("supplier", "s_suppkey", bins)},
+x AS (SELECT b1, SUM(LEAST(o.p * LEAST(c.p, c.v), c.p * LEAST(o.p, o.v0))) AS p, SUM(o.v1 * LEAST(c.p, c.v)) AS m FROM o JOIN c ON o.b0 = c.b GROUP BY 1)
+SELECT CAST(COALESCE(SUM(LEAST(x.p * LEAST(l.p, l.v), l.p * LEAST(x.p, x.m))), 0) AS DOUBLE) AS bound FROM x JOIN l ON x.b1 = l.b"""
+
+
+@query(_star_sql(16, first="p_size <= 25"))
 def bound_star(spark, sf):
-    register(spark, sf, ["lineitem", "part", "supplier"])
-    e = bound.estimate(spark, STAR, bins=16)
-    return bound.true_count(spark, STAR).crossJoin(e).select("true_count", (F.col("bound") >= F.col("true_count")).alias("is_bound"))  # a row each
+    return bound.estimate(spark, STAR, _tables(spark, sf), driver_schema(), bins=16)
+
+
+@query(_star_sql(16, centre="l_orderkey % 2 = 0"))
+def bound_from_statistics_nulls(spark, sf):
+    """Half of lineitem has no order: from its stored factor of part and supplier alone."""
+    def tables(name):
+        df = load(spark, sf, name)
+        return df.where("l_orderkey % 2 = 0").withColumn("l_orderkey", F.when(F.col("l_orderkey") % 4 == 0, F.col("l_orderkey"))) if name == "lineitem" else df
+
+    s = statistics.build(driver_schema(), tables, 16, ["lineitem", "part", "supplier"])
+    return statistics.estimate("SELECT COUNT(*) FROM lineitem l, part p, supplier s WHERE l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey", s, tables)
 
 
 CYCLE = """SELECT COUNT(*) FROM lineitem l, orders o, customer c, supplier s WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey
   AND l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey"""
 
 
-@query("SELECT COUNT(*) AS true_count, true AS is_bound FROM lineitem, orders, customer, supplier WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey")
+def _cycle_sql(bins: int) -> str:
+    """Groups in the order customer key, nation, order key, supplier key."""
+    return f"""WITH c AS {_cells_sql("customer", "c_custkey", "c_nationkey", bins)}, o AS {_cells_sql("orders", "o_custkey", "o_orderkey", bins)},
+s AS {_cells_sql("supplier", "s_nationkey", "s_suppkey", bins)}, l AS {_cells_sql("lineitem", "l_orderkey", "l_suppkey", bins)},
+x0 AS (SELECT c.b1 AS g1, o.b1 AS g2, SUM(LEAST(c.p * LEAST(o.p, o.v0), o.p * LEAST(c.p, c.v0))) AS p, SUM(c.v1 * LEAST(o.p, o.v0)) AS m1, SUM(o.v1 * LEAST(c.p, c.v0)) AS m2 FROM c JOIN o USING (b0) GROUP BY 1, 2),
+x AS (SELECT g1, g2, p, LEAST(p, m1) AS m1, LEAST(p, m2) AS m2 FROM x0),
+y0 AS (SELECT g2, s.b1 AS g3, SUM(LEAST(x.p * LEAST(s.p, s.v0), s.p * LEAST(x.p, x.m1))) AS p, SUM(x.m2 * LEAST(s.p, s.v0)) AS m2 FROM x JOIN s ON x.g1 = s.b0 GROUP BY 1, 2),
+y AS (SELECT g2, g3, p, LEAST(p, m2) AS m2 FROM y0)
+SELECT CAST(SUM(LEAST(y.p * LEAST(l.p, l.v0), l.p * LEAST(y.p, y.m2))) AS DOUBLE) AS bound FROM y JOIN l ON y.g2 = l.b0 AND y.g3 = l.b1"""
+
+
+@query(_cycle_sql(16))
 def bound_cyclic(spark, sf):
-    register(spark, sf, ["lineitem", "orders", "customer", "supplier"])
-    e = bound.estimate(spark, CYCLE, bins=16)
-    return bound.true_count(spark, CYCLE).crossJoin(e).select("true_count", (F.col("bound") >= F.col("true_count")).alias("is_bound"))  # a row each
+    return bound.estimate(spark, CYCLE, _tables(spark, sf), driver_schema(), bins=16)
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1), a AS (SELECT k % 16 AS b, SUM(n) AS p, MAX(n) AS v FROM o GROUP BY 1)
@@ -282,15 +345,15 @@ def advised_join_order(spark, sf):
     return planner.ordered_join(q, tables, names).agg(F.count("*").alias("n"))
 
 
-def _kernel_rows(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES (0, 4, 2, 2, 1), (1, 0, 1, 5, 1), (2, 6, 3, 3, 3) AS t(bin, p1, v1, p2, v2)")
-
-
-@query("""SELECT bin, CAST(LEAST(p1 * LEAST(p2, v2), p2 * LEAST(p1, v1)) AS BIGINT) AS out, CAST(LEAST(p1, v1) * LEAST(p2, v2) AS BIGINT) AS mode
-FROM (VALUES (0, 4, 2, 2, 1), (1, 0, 1, 5, 1), (2, 6, 3, 3, 3)) t(bin, p1, v1, p2, v2)""")
+@query(f"""SELECT CAST(l.b AS INT) AS bin, CAST(LEAST(l.p * LEAST(o.p, o.v), o.p * LEAST(l.p, l.v)) AS BIGINT) AS out FROM {_side_sql("lineitem", "l_suppkey", 20)} l JOIN {_side_sql("supplier", "s_suppkey", 20)} o USING (b)""")
 def bound_kernel(spark, sf):
-    p, v = [F.col("p1"), F.col("p2")], [F.col("v1"), F.col("v2")]
-    return _kernel_rows(spark).select("bin", bound.kernel(p, v).cast("bigint").alias("out"), (F.least("p1", "v1") * F.least("p2", "v2")).cast("bigint").alias("mode"))
+    """The bound of each bin of the supplier group."""
+    def side(table, key, n):
+        c = binning.key_counts(load(spark, sf, table), key)
+        return binning.bin_statistics(c, binning.modulo_bin(F.col("value"), 20)).select("bin", F.col("mass").alias(f"p{n}"), F.col("mfv").alias(f"v{n}"))
+
+    both = side("lineitem", "l_suppkey", 1).join(side("supplier", "s_suppkey", 2), "bin")
+    return both.select("bin", bound.kernel([F.col("p1"), F.col("p2")], [F.col("v1"), F.col("v2")]).cast("bigint").alias("out"))
 
 
 # Evaluation
@@ -333,11 +396,12 @@ def quantile_bins(spark, sf):
     return o.groupBy(bayes.interval_bin(F.col("o_totalprice"), bayes.quantile_edges(o, "o_totalprice", 10)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id, ROUND(CASE WHEN b = a THEN CASE WHEN a BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END ELSE GREATEST(0, LEAST(hi, b) - GREATEST(lo, a)) / (b - a) END, 6) AS coverage
-FROM (VALUES (1, 0.0, 10.0, 0.0, 10.0), (2, 2.0, 4.0, 0.0, 10.0), (3, -5.0, 5.0, 0.0, 10.0), (4, 11.0, 12.0, 0.0, 10.0), (5, 9.0, 99.0, 0.0, 10.0), (6, 0.0, 3.0, 3.0, 3.0)) t(id, lo, hi, a, b)""")
+@query("""SELECT p_brand, ROUND(CASE WHEN b = a THEN CASE WHEN a BETWEEN 1000 AND 1500 THEN 1.0 ELSE 0.0 END ELSE GREATEST(0, LEAST(1500, b) - GREATEST(1000, a)) / (b - a) END, 6) AS coverage
+FROM (SELECT p_brand, MIN(p_retailprice) AS a, MAX(p_retailprice) AS b FROM part GROUP BY 1)""")
 def range_coverage(spark, sf):
-    rows = spark.sql("SELECT id, cast(lo as double) lo, cast(hi as double) hi, cast(a as double) a, cast(b as double) b FROM VALUES (1, 0.0, 10.0, 0.0, 10.0), (2, 2.0, 4.0, 0.0, 10.0), (3, -5.0, 5.0, 0.0, 10.0), (4, 11.0, 12.0, 0.0, 10.0), (5, 9.0, 99.0, 0.0, 10.0), (6, 0.0, 3.0, 3.0, 3.0) AS t(id, lo, hi, a, b)")
-    return rows.select("id", F.round(bayes.interval_coverage(F.col("lo"), F.col("hi"), F.col("a"), F.col("b")), 6).alias("coverage"))
+    """What a price range covers of each brand's prices, spread evenly."""
+    rows = load(spark, sf, "part").groupBy("p_brand").agg(F.min("p_retailprice").alias("a"), F.max("p_retailprice").alias("b"))
+    return rows.select("p_brand", F.round(bayes.interval_coverage(F.lit(1000.0), F.lit(1500.0), F.col("a"), F.col("b")), 6).alias("coverage"))
 
 
 def _mi_sql(a: str, b: str) -> str:
@@ -518,20 +582,30 @@ def network_estimate(spark, sf):
     return estimators.estimate_from_networks(q, nets).select(F.round("bound", 3).alias("bound"))
 
 
-@query("SELECT * FROM (VALUES ('o_custkey', 10.0, 30.0, false), ('o_totalprice', 100.0, 50.0, true)) t(column_name, low, high, contradictory)".replace("10.0, 30.0", "CAST(10 AS DOUBLE), CAST(30 AS DOUBLE)").replace("100.0, 50.0", "CAST(100 AS DOUBLE), CAST(50 AS DOUBLE)"))
+@query("""SELECT 'o_custkey' AS column_name, COUNT(*) AS n FROM orders WHERE o_custkey >= 10 AND o_custkey < 77 AND o_custkey BETWEEN 3 AND 30 AND o_custkey <> 12
+UNION ALL SELECT 'o_totalprice', COUNT(*) FROM orders WHERE o_totalprice > 100 AND o_totalprice <= 50
+UNION ALL SELECT 'o_orderstatus', COUNT(*) FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderstatus <> 'O'""")
 def predicate_merge(spark, sf):
-    merged = predicates.merge(["o_custkey >= 10", "o_custkey < 77", "o_custkey BETWEEN 3 AND 30", "o_totalprice > 100", "o_totalprice <= 50"])
-    return spark.createDataFrame([(k, float(c.interval.low), float(c.interval.high), c.contradictory) for k, c in merged.items()], "column_name string, low double, high double, contradictory boolean")
+    """Rows that pass conjunctions, each merged into one condition of a column."""
+    merged = predicates.merge(["o_custkey >= 10", "o_custkey < 77", "o_custkey BETWEEN 3 AND 30", "o_custkey != 12", "o_totalprice > 100", "o_totalprice <= 50", "o_orderstatus IN ('F', 'O')", "o_orderstatus <> 'O'"])
+    o = load(spark, sf, "orders")
+    passes = [F.count_if(predicates.as_column(c, F.col(name))).alias(name) for name, c in merged.items()]
+    return o.agg(*passes).unpivot([], list(merged), "column_name", "n")
 
 
-@query("SELECT * FROM (VALUES ('c n', 'SELECT COUNT(*) FROM customer AS c, nation AS n WHERE c.c_nationkey = n.n_nationkey'), ('c s', 'SELECT COUNT(*) FROM customer AS c, supplier AS s WHERE c.c_nationkey = s.s_nationkey'), ('n s', 'SELECT COUNT(*) FROM nation AS n, supplier AS s WHERE n.n_nationkey = s.s_nationkey')) t(aliases, sql)")
+@query("""SELECT 'c n' AS aliases, COUNT(*) AS n FROM customer, nation WHERE c_nationkey = n_nationkey AND c_acctbal > 0
+UNION ALL SELECT 'c s', COUNT(*) FROM customer, supplier WHERE c_nationkey = s_nationkey AND c_acctbal > 0 UNION ALL SELECT 'n s', COUNT(*) FROM nation, supplier WHERE n_nationkey = s_nationkey""")
 def subplan_sql(spark, sf):
-    """Sub-plans of two tables, with the join that only holds through the third."""
+    """The texts of the sub-plans of two tables, run; one of their joins only holds through the third table."""
     from joinlens.plans.planner import connected_subsets
 
-    q = parse("SELECT COUNT(*) FROM customer c, supplier s, nation n WHERE c.c_nationkey = n.n_nationkey AND s.s_nationkey = n.n_nationkey", driver_schema())
-    rows = [(" ".join(sorted(s)), q.sql("COUNT(*)", set(s))) for s in connected_subsets(q) if len(s) == 2]
-    return spark.createDataFrame(rows, "aliases string, sql string")
+    register(spark, sf, ["customer", "supplier", "nation"])
+    q = parse(NARY, driver_schema())
+    out = None
+    for s in (s for s in connected_subsets(q) if len(s) == 2):
+        row = spark.sql(q.sql("COUNT(*) AS n", set(s))).select(F.lit(" ".join(sorted(s))).alias("aliases"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("SELECT ROUND(AVG(CASE WHEN c_acctbal > 5000 THEN COALESCE(n, 0) ELSE 0 END), 6) AS expectation FROM customer LEFT JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -542,13 +616,16 @@ def fanout_expectation(spark, sf):
     return _rounded(bayes.expectation(both, F.col("c_acctbal") > 5000, F.coalesce("n", F.lit(0)).cast("double")), "expectation")
 
 
-@query("""WITH o AS (SELECT p_brand AS value, COUNT(*) AS n FROM part WHERE p_size <= 25 GROUP BY 1), a AS (SELECT p_brand AS value, COUNT(*) AS n FROM part GROUP BY 1)
-SELECT a.value, a.n, o.value IS NOT NULL AS known FROM a LEFT JOIN o USING (value)""")
+@query("""WITH n AS (SELECT p_brand AS value, COUNT(*) AS n FROM part WHERE p_size <= 25 AND p_brand <> 'Brand#11' GROUP BY 1), t AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS code FROM n QUALIFY code < 5),
+r AS (SELECT * FROM n WHERE value NOT IN (SELECT value FROM t)),
+old AS (SELECT value, code FROM t UNION ALL SELECT value, 5 + FLOOR(COALESCE(SUM(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 4 / SUM(n) OVER ()) FROM r),
+a AS (SELECT p_brand AS value, COUNT(*) AS n FROM part WHERE p_size > 25 OR p_brand <> 'Brand#11' GROUP BY 1)
+SELECT a.value, a.n, CAST(CASE WHEN old.value IS NULL THEN (SELECT MAX(code) + 1 FROM old) ELSE code END AS INT) AS code FROM a LEFT JOIN old USING (value)""")
 def update_categories(spark, sf):
+    """Codes of old values stay, a new value gets one behind them."""
     p = load(spark, sf, "part")
-    old = bayes.common_value_codes(p.where("p_size <= 25"), "p_brand", common=5, bins=4)
-    top = old.agg(F.max("code")).first()[0]
-    return bayes.extend_codes(old, p.where("p_size > 25"), "p_brand").select("value", "n", (F.col("code") <= top).alias("known"))
+    old = bayes.common_value_codes(p.where("p_size <= 25 and p_brand <> 'Brand#11'"), "p_brand", common=5, bins=4)
+    return bayes.extend_codes(old, p.where("p_size > 25"), "p_brand", groups=1).select("value", "n", "code")
 
 
 @query("SELECT l_orderkey % 100 AS part, CAST(SUM(epoch(l_shipdate) - epoch(TIMESTAMP '2010-07-19 00:00:00')) AS BIGINT) AS seconds FROM lineitem GROUP BY 1")
@@ -557,7 +634,8 @@ def dates_to_seconds(spark, sf):
     return df.groupBy((F.col("l_orderkey") % 100).alias("part")).agg(F.sum("l_shipdate").alias("seconds"))
 
 
-@query()
+@query("WITH " + _joined_bins_sql(("orders", "o_custkey"), ("customer", "c_custkey"), 16) + """ SELECT CAST(bin AS INT) AS bin, COUNT(*) AS width, CAST(SUM(k2.n) AS BIGINT) AS mass_customer, CAST(SUM(k.n) AS BIGINT) AS mass_orders
+FROM all2 LEFT JOIN k USING (value) LEFT JOIN k2 USING (value) GROUP BY 1""")
 def fixed_start_bins(spark, sf):
     """Bins of the customer key group from its start key; masses of each key."""
     keys = {"orders": binning.key_counts(load(spark, sf, "orders"), "o_custkey"), "customer": binning.key_counts(load(spark, sf, "customer"), "c_custkey")}
@@ -668,31 +746,94 @@ def epoch_seconds(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", encode.epoch_seconds(F.col("o_orderdate")).alias("seconds"))
 
 
-@query("SELECT * FROM (VALUES ('I', 1), ('IV', 4), ('IX', 9), ('XIV', 14), ('XL', 40), ('MCMXCIV', 1994), ('12', 12), ('abc', NULL)) t(text, number)")
+@query("SELECT p_partkey, CAST(p_size AS INT) AS number FROM part")
 def roman_to_int(spark, sf):
-    return spark.sql("SELECT * FROM VALUES ('I'), ('IV'), ('IX'), ('XIV'), ('XL'), ('MCMXCIV'), ('12'), ('abc') AS t(text)").select("text", encode.roman_to_int(F.col("text")).alias("number"))
+    """Sizes written as roman numerals and read again."""
+    tens, ones = F.array(*map(F.lit, ["", "X", "XX", "XXX", "XL", "L"])), F.array(*map(F.lit, ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]))
+    size = F.col("p_size").cast("int")
+    text = F.concat(F.get(tens, F.floor(size / 10).cast("int")), F.get(ones, size % 10))
+    return load(spark, sf, "part").select("p_partkey", encode.roman_to_int(text).alias("number"))
 
 
-@query("SELECT * FROM (VALUES ('A1', 1), ('B52', 152), ('Z625', 25625), ('x', NULL)) t(text, number)")
+@query("SELECT p_partkey, CAST(CAST(p_partkey % 26 AS VARCHAR) || CAST(p_size AS VARCHAR) AS INT) AS number FROM part")
 def phonetic_to_int(spark, sf):
-    return spark.sql("SELECT * FROM VALUES ('A1'), ('B52'), ('Z625'), ('x') AS t(text)").select("text", encode.phonetic_to_int(F.col("text")).cast("int").alias("number"))
+    text = F.concat(F.char((F.col("p_partkey") % 26 + 65).cast("int")), F.col("p_size").cast("int").cast("string"))
+    return load(spark, sf, "part").select("p_partkey", encode.phonetic_to_int(text).cast("int").alias("number"))
 
 
-@query("SELECT * FROM (VALUES ('1994-1998', 19941998), ('????-2001', 10002001), ('1990-????', 19909999), ('????-????', 10009999), ('x', 0)) t(text, number)")
+@query("""SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 1 THEN 1000 ELSE year(o_orderdate) END * 10000 + CASE WHEN o_orderkey % 5 = 2 THEN 9999 ELSE year(o_orderdate) + o_orderkey % 7 END AS INT) AS number FROM orders""")
 def series_years_to_int(spark, sf):
-    return spark.sql("SELECT * FROM VALUES ('1994-1998'), ('????-2001'), ('1990-????'), ('????-????'), ('x') AS t(text)").select("text", encode.series_years_to_int(F.col("text")).cast("int").alias("number"))
+    """Spans of years, open at either end for some."""
+    first = F.when(F.col("o_orderkey") % 3 == 1, "????").otherwise(F.year("o_orderdate").cast("string"))
+    last = F.when(F.col("o_orderkey") % 5 == 2, "????").otherwise((F.year("o_orderdate") + F.col("o_orderkey") % 7).cast("string"))
+    return load(spark, sf, "orders").select("o_orderkey", encode.series_years_to_int(F.concat(first, F.lit("-"), last)).cast("int").alias("number"))
 
 
 WORKLOAD = [TWO_WAY, NARY, CHAIN, STAR]
 
 
-@query("SELECT * FROM (VALUES ('customer.c_custkey', 1), ('lineitem.l_orderkey', 2), ('lineitem.l_partkey', 1), ('lineitem.l_suppkey', 1), ('customer.c_nationkey', 1)) t(key_group, joins)")
+@query("""WITH u AS (SELECT * FROM (VALUES ('customer.c_custkey', 1), ('lineitem.l_orderkey', 2), ('lineitem.l_partkey', 1), ('lineitem.l_suppkey', 1), ('customer.c_nationkey', 1)) t(key_group, n))
+SELECT key_group, CAST(ROUND(120.0 * n / SUM(n) OVER ()) AS INT) AS bins FROM u""")
 def workload_key_budget(spark, sf):
-    """How many queries of a workload join in each key group; the group is named by its smallest key."""
+    """Bins for each key group by how many queries of the workload join in it; the group is named by its smallest key."""
     groups = {m: g[0] for g in driver_schema().key_groups() for m in g}
-    used = []
+    uses: dict[str, int] = {}
     for text in WORKLOAD:
         q = parse(text, driver_schema())
-        used += sorted({".".join(groups[(q.aliases[a], c)]) for g in q.key_groups() for a, c in g})
-    rows = spark.createDataFrame([(u,) for u in used], "key_group string")
-    return rows.groupBy("key_group").agg(F.count("*").cast("int").alias("joins"))
+        for name in {".".join(groups[(q.aliases[a], c)]) for g in q.key_groups() for a, c in g}:
+            uses[name] = uses.get(name, 0) + 1
+    return spark.createDataFrame(list(binning.workload_budget(uses, 120).items()), "key_group string, bins int")
+
+
+# Stored models
+
+
+def _catalog(spark, sf, names: list[str], bins: int) -> catalog.Catalog:
+    return catalog.build(driver_schema(), _tables(spark, sf), bins, names)
+
+
+@query(_two_way_sql("true", "true", 32))
+def catalog_two_way(spark, sf):
+    """From stored models alone."""
+    c = _catalog(spark, sf, ["lineitem", "orders"], 32)
+    return spark.createDataFrame([(c.estimate("SELECT COUNT(*) FROM lineitem l, orders o WHERE l.l_orderkey = o.o_orderkey"),)], "bound double")
+
+
+_PLAIN_CHAIN = "SELECT COUNT(*) FROM lineitem l, orders o, customer c WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey"
+
+
+@query(f"""WITH o AS {_cells_sql("orders", "o_custkey", "o_orderkey", 16)}, c AS {_side_sql("customer", "c_custkey", 16)}, l AS {_side_sql("lineitem", "l_orderkey", 16)},
+co AS (SELECT b1, SUM(LEAST(o.p * LEAST(c.p, c.v), c.p * LEAST(o.p, o.v0))) AS p, SUM(LEAST(LEAST(o.p * LEAST(c.p, c.v), c.p * LEAST(o.p, o.v0)), LEAST(o.p, o.v1) * LEAST(c.p, c.v))) AS m FROM o JOIN c ON o.b0 = c.b GROUP BY 1),
+lo AS (SELECT SUM(LEAST(o.p * LEAST(l.p, l.v), l.p * LEAST(o.p, o.v1))) AS p FROM o JOIN l ON o.b1 = l.b)
+SELECT 'c' AS aliases, CAST((SELECT COUNT(*) FROM customer) AS DOUBLE) AS estimate UNION ALL SELECT 'o', (SELECT COUNT(*) FROM orders) UNION ALL SELECT 'l', (SELECT COUNT(*) FROM lineitem)
+UNION ALL SELECT 'c o', (SELECT SUM(p) FROM co) UNION ALL SELECT 'l o', (SELECT p FROM lo)
+UNION ALL SELECT 'c l o', (SELECT SUM(LEAST(co.p * LEAST(l.p, l.v), l.p * LEAST(co.p, co.m))) FROM co JOIN l ON co.b1 = l.b)""")
+def catalog_subplans(spark, sf):
+    """All sub-plans of the chain, each from one that is smaller by a table."""
+    return catalog.as_rows(spark, _catalog(spark, sf, ["lineitem", "orders", "customer"], 16).subplans(_PLAIN_CHAIN))
+
+
+@query("""WITH o AS (SELECT o_custkey % 16 AS b, COUNT(*) AS p FROM orders GROUP BY 1) SELECT CAST(b AS INT) AS bin, CAST(p AS DOUBLE) AS mass FROM o""")
+def catalog_update_masses(spark, sf):
+    """Models of the rows before a date, then the others added: masses as if all had been there."""
+    c = update.train_and_update(driver_schema(), _tables(spark, sf), {"orders": "o_orderdate"}, "1998-01-01", 16, ["orders"])
+    f = c.tables["orders"].factors[("o_custkey",)]
+    return spark.createDataFrame([(int(b), float(p)) for (b,), p in zip(f.bins, f.mass, strict=True)], "bin int, mass double")
+
+
+@query("SELECT ROUND(AVG(l_extendedprice) + covar_samp(l_extendedprice, l_quantity) / var_samp(l_quantity) * (10 - AVG(l_quantity)), 4) AS mean, ROUND((var_pop(l_extendedprice) - covar_pop(l_extendedprice, l_quantity) ** 2 / var_pop(l_quantity)) / 1e6, 3) AS variance FROM lineitem")
+def gaussian_given(spark, sf):
+    """Prices at a quantity of 10, by the tables' joint Gaussian."""
+    from joinlens.models import gaussian
+
+    g = gaussian.from_table(load(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"]).given({"l_quantity": 10.0})
+    return spark.createDataFrame([(round(float(g.mean[0]), 4), round(float(g.cov[0, 0]) / 1e6, 3))], "mean double, variance double")
+
+
+@query("""WITH n AS (SELECT l_returnflag AS a, l_linestatus AS b, COUNT(*) AS n FROM lineitem GROUP BY 1, 2) SELECT b AS state, ROUND(SUM(n) * 1.0 / (SELECT SUM(n) FROM n WHERE a IN ('A', 'R')), 6) AS probability FROM n WHERE a IN ('A', 'R') GROUP BY 1""")
+def network_posterior(spark, sf):
+    """A variable given a set of another's states, from the fitted network of both."""
+    df = load(spark, sf, "lineitem")
+    joint = factors.product(bayes.cpd(df, "l_returnflag"), bayes.cpd(df, "l_linestatus", "l_returnflag"))
+    out = factors.normalize(factors.marginalize(factors.reduce(joint, {"l_returnflag": ["A", "R"]}), ["l_returnflag"]))
+    return _rounded(out.select(F.col("l_linestatus").alias("state"), F.col("value").alias("probability")), "probability")
