@@ -769,6 +769,11 @@ def series_years_to_int(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", encode.series_years_to_int(F.concat(first, F.lit("-"), last)).cast("int").alias("number"))
 
 
+#: Ten tables, among them one twice and two that occur twice.
+WIDE = """SELECT COUNT(*) FROM lineitem l, orders o, customer c, supplier s, nation n1, nation n2, region r1, region r2, part p, lineitem l2 WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey
+  AND l.l_suppkey = s.s_suppkey AND c.c_nationkey = n1.n_nationkey AND s.s_nationkey = n2.n_nationkey AND n1.n_regionkey = r1.r_regionkey AND n2.n_regionkey = r2.r_regionkey
+  AND l.l_partkey = p.p_partkey AND l2.l_partkey = p.p_partkey AND p.p_size <= 25"""
+
 WORKLOAD = [TWO_WAY, NARY, CHAIN, STAR]
 
 
