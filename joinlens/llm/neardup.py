@@ -8,8 +8,13 @@ are screened by their whole signatures and confirmed on full shingle sets; links
 
 Three rounds, each only with pairs that no links join so far: close neighbours in a few trees (this joins large groups of
 copies with few comparisons), wider neighbourhoods in all trees, and last an exact join of the classes in full-depth
-buckets that still span several components. A pair at the threshold misses all of 28 full-depth
-buckets with probability (1 - 0.85**6)**24, about 1 in 80,000, and is mostly met in the earlier rounds too.
+buckets that still span several components. A pair at the threshold shares none of the 28 full-depth buckets
+with probability (1 - 0.85**5)**28, 1.5e-7 at 0.85, and (1 - 0.8**5)**28, 1.5e-5 at 0.8; screening by the whole signature, at five standard
+errors below the threshold, loses one in three million. ``exact=True`` puts the exact join over all classes in place of the last round's
+buckets and screening, and loses nothing.
+
+A shingle of very many classes is dealt to as many tasks as its rows ask for: of two classes in different components one is outside of the
+shingle's largest component, so only those go to all of its tasks.
 
 Cases: null or wordless text has the empty set and is linked with nothing. Rows with equal doc_id count as one
 document: its sets share their links. Rows with a null doc_id are linked with nothing, have a null component and are
@@ -37,6 +42,8 @@ FIRST_TREES, FIRST_NEAR, NEAR = 2, 2, 6
 #: Least similarity in hundredths, unless a caller says otherwise.
 PERCENT = 80
 STEP = 1_000_000
+#: Rows of one shingle that one task takes in the last round.
+TASK_ROWS = 1000
 
 _A = np.random.default_rng(7).integers(0, 1 << 32, (2, TREES * DEPTH), np.uint64).astype(np.uint32)
 _A[0] |= 1
@@ -224,7 +231,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return saved(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "confirmed")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. Linked are sets with 100 * common >= percent * all shingles."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
@@ -238,8 +245,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             found = components(links)
             nodes = saved(nodes.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
         keys = _keys(nodes, trees)
-        pairs = _neighbours(keys, near) if near else _unjoined(keys, rows, nodes, percent)
-        pairs = saved(_screened(pairs, nodes, percent), "candidates")
+        last = not near
+        pairs = _unjoined(None if exact else keys, rows, nodes, percent) if last else _neighbours(keys, near)
+        pairs = saved(_ordered(pairs, nodes) if last and exact else _screened(pairs, nodes, percent), "candidates")
         new = _confirmed(pairs, rows, percent)
         release(spark)
         links = new if links is None else links.unionByName(new)
@@ -251,32 +259,47 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
-def _unjoined(keys: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _ordered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs with the smaller set first."""
+    own = nodes.select("node", "n")
+    both = pairs.join(own.withColumnsRenamed({"node": "u", "n": "nu"}), "u").join(own.withColumnsRenamed({"node": "v", "n": "nv"}), "v")
+    first = F.col("nu") <= F.col("nv")
+    return both.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("v"))
+
+
+def _unjoined(keys: DataFrame | None, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that could still be near, by exact prefix filtering.
 
-    Taken are the classes in a full-depth bucket that spans several components. Two sets at the threshold share one
+    Taken are the classes in a full-depth bucket that spans several components (all classes without ``keys``). Two sets at the threshold share one
     of the rarest n - ceil(threshold * n) + 1 shingles of each, whatever the order; rarest first, a
     shingle that all of a crowd has is hardly ever among them, so the crowd's size doesn't multiply.
     """
-    keys = keys.withColumn("bucket", F.xxhash64("tree", "key"))
-    mixed = keys.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    own = saved(keys.join(mixed, "bucket").select("node").distinct(), "mixed")
+    if keys is None:
+        own = nodes.select("node")
+    else:
+        keys = keys.withColumn("bucket", F.xxhash64("tree", "key"))
+        mixed = keys.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+        own = saved(keys.join(mixed, "bucket").select("node").distinct(), "mixed")
     texts = docs.join(own.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     tokens = texts.select("doc_id", "text").mapInArrow(_single_shingles, "node long, shingle long").distinct()
-    # Counted apart and joined, so that a shingle of very many classes is added up before it is shuffled and split in the join.
-    twice = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # Counted apart and saved: the table of counts is joined by its measured size, and a shingle of very many classes needn't meet in one task.
+    twice = saved(tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     often = tokens.join(twice, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rare = Window.partitionBy("node").orderBy("df", "shingle")
     ranked = often.withColumn("rank", F.row_number().over(rare)).withColumn("n", F.count("*").over(Window.partitionBy("node")))
     front = ranked.where(f"df > 1 and rank <= n - ceil(n * {percent} / 100) + 1").join(nodes.select("node", "component"), "node")
     front = saved(front.select("shingle", "node", "component", "n", "rank"), "front")
-    shared = front.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    sizes = front.groupBy("shingle", "component").agg(F.count("*").alias("size")).groupBy("shingle")
+    most = sizes.agg(F.sum("size").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most")).where("parts > 1")
+    shared = saved(most.select("shingle", F.col("most.component").alias("main"), F.ceil(F.col("rows") / TASK_ROWS).cast("int").alias("tasks")), "shared")
     rows = front.join(shared, "shingle")
-    a, b = rows.alias("a"), rows.alias("b")
+    a = rows.withColumn("task", F.pmod(F.xxhash64("node"), "tasks").cast("int")).alias("a")
+    b = rows.where("component <> main").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).alias("b")
+    once = F.expr("a.component <> b.component and (a.component = a.main or a.node > b.node)")
     # A common shingle at some rank leaves no more than the ranks from there on to share.
     room = F.expr(f"(100 + {percent}) * (least(a.n - a.rank, b.n - b.rank) + 1) >= {percent} * (a.n + b.n)")
-    near = room & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
-    return a.join(b, near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    near = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.task") == F.col("b.task")) & once & room & F.expr(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
+    return a.join(b, near).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -64,6 +64,24 @@ def test_last_round_alone_finds_what_the_others_miss(make, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("rounds", [True, False])
+def test_exact_form_and_split_shingles_lose_nothing(make, monkeypatch, rounds):
+    """With a shingle's rows dealt to many tasks; and with the exact join doing all the work."""
+    monkeypatch.setattr(neardup, "TASK_ROWS", 3)
+    if not rounds:
+        monkeypatch.setattr(neardup, "_neighbours", lambda keys, near: keys.selectExpr("node u", "node v").limit(0))
+    rows = corpus(11)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(make(rows), 80, exact=True).collect()}
+    assert got == brute(rows, 80)
+
+
+def test_long_texts(make):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "short text of some few words")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_shingle_values_follow_the_words():
     data, starts = [], [0]
     texts = ["a b c d e f", "A  b\nc d E f", "b c d e f", "ab c d e f", ""]
