@@ -15,6 +15,10 @@ KMER-byte strings. Equal windows own equal anchors at equal offsets, so
 4. for each offset, suffixes that share the bytes right of the anchor, and whose bytes left of it are
    equal, own equal windows: all but the earliest are repeats.
 
+A KMER-byte string that is very common, in different surroundings, is split: its suffixes are sent once for each of PARTS ranges of offsets,
+and dealt by the bytes that all windows of these offsets share (83 of 100), so equal windows still meet. How often a string occurs is added up
+while it streams by.
+
 Cases: null text is empty. Rows that repeat both doc_id and text are one document: each gives the same
 row. Rows with one doc_id and different texts count as different documents, in the order of a hash of their texts; null
 ids come first. An empty table gives no rows. Other columns are ignored.
@@ -40,6 +44,10 @@ REACH = WINDOW - KMER  # the largest offset of an anchor in its window
 #: Suffixes of a task's run, and of a bucket.
 RUN = 200_000
 BUCKET = 150_000
+#: A KMER-byte string that occurs more often is split, and at most this many strings are (then only the more common ones).
+COMMON = 20_000
+MAX_COMMON = 1_000_000
+PARTS = 4
 CHUNK = 8_000_000  # positions take 24 bits beside 40 of hash
 
 _M = 0xD6E8FEB86659FD93
@@ -104,7 +112,8 @@ def anchors_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 #: where: position, least and largest offset, and two flags in one number, as many anchors are moved.
-ANCHOR = "kmer long, doc_id long, tie int, where long"
+#: same: how often the step has the kmer, for its first row there. A row with a negative place tells a common kmer and, as doc_id, how often it occurs.
+ANCHOR = "kmer long, doc_id long, tie int, where long, same int"
 KNOWN, ANYWHERE = 2, 1
 
 
@@ -116,14 +125,17 @@ def unpack(where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return where >> 16, where >> 9 & 127, where >> 2 & 127
 
 
-def _flags(kmer: np.ndarray) -> np.ndarray:
-    """KNOWN: the anchor repeats, as its step has the kmer twice. The first of a step goes to its kmer's task,
+def _flags(kmer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags, and how often the step has the kmer. KNOWN: the anchor repeats, as its step has the kmer twice. The first of a step goes to its kmer's task,
     where it meets those of other steps; the others, whose fate is known, go ANYWHERE. So a very common kmer
     sends one row for each step to its task."""
     _, first, inverse, count = np.unique(kmer, return_index=True, return_inverse=True, return_counts=True)
     out = np.where(count[inverse] > 1, KNOWN | ANYWHERE, 0)
     out[first] &= ~ANYWHERE
-    return out
+    return out, count[inverse].astype(np.int32)
+
+
+NAMES = [f.split()[0] for f in ANCHOR.split(", ")]
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,32 +143,54 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, starts = joined_bytes(batch, "text")
         text, pos, low, high, kmer = anchors(data, starts)
         rows = pa.array(text)
-        yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pack(pos, low, high) | _flags(kmer))], [f.split()[0] for f in ANCHOR.split(", ")])
+        flags, same = _flags(kmer)
+        yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pack(pos, low, high) | flags), pa.array(same)], NAMES)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by kmer, those whose kmer occurs twice at least or is known to. Holds one row back."""
-    held: pa.RecordBatch | None = None
-    linked = False  # the held row's kmer equals the one before it
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.asarray(batch.column(0))
-        same = k[1:] == k[:-1]
-        if held is not None:
-            meets = held.column(0)[0].as_py() == int(k[0])
-            if linked or meets or held.column(3)[0].as_py() & KNOWN:
-                yield held
-        else:
-            meets = False
-        keep = np.concatenate([[meets], same]) | np.concatenate([same, [False]]) | (np.asarray(batch.column(3)) & KNOWN != 0)
-        linked = bool(meets) if len(k) == 1 else bool(same[-1])
-        held = batch.slice(len(k) - 1, 1)
-        keep[-1] = False
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-    if held is not None and (linked or held.column(3)[0].as_py() & KNOWN):
-        yield held
+def _repeated(above: int):
+    """Of rows sorted by kmer, those whose kmer occurs twice at least or is known to, and a row for each kmer that occurs more than ``above`` times. Holds one row back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        linked = False  # the held row's kmer equals the one before it
+        open_kmer, open_n = 0, 0  # of the kmer that the last batch ended with
+
+        def common(kmers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            big = n > above
+            return pa.RecordBatch.from_arrays([pa.array(kmers[big]), pa.array(n[big]), pa.array(np.zeros(big.sum(), np.int32)), pa.array(np.full(big.sum(), -1)), pa.array(np.zeros(big.sum(), np.int32))], NAMES)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.asarray(batch.column(0))
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            n = np.add.reduceat(np.where(np.asarray(batch.column(3)) & ANYWHERE, 0, np.asarray(batch.column(4))).astype(np.int64), edge)
+            if open_n and k[0] == open_kmer:
+                n[0] += open_n
+            elif open_n > above:
+                yield common(np.array([open_kmer]), np.array([open_n]))
+            if (n[:-1] > above).any():
+                yield common(k[edge[:-1]], n[:-1])
+            open_kmer, open_n = int(k[-1]), int(n[-1])
+            same = k[1:] == k[:-1]
+            if held is not None:
+                meets = held.column(0)[0].as_py() == int(k[0])
+                if linked or meets or held.column(3)[0].as_py() & KNOWN:
+                    yield held
+            else:
+                meets = False
+            keep = np.concatenate([[meets], same]) | np.concatenate([same, [False]]) | (np.asarray(batch.column(3)) & KNOWN != 0)
+            linked = bool(meets) if len(k) == 1 else bool(same[-1])
+            held = batch.slice(len(k) - 1, 1)
+            keep[-1] = False
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+        if held is not None and (linked or held.column(3)[0].as_py() & KNOWN):
+            yield held
+        if open_n > above:
+            yield common(np.array([open_kmer]), np.array([open_n]))
+
+    return run
 
 
 def encode_run(right: np.ndarray, left: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
@@ -316,14 +350,37 @@ def _span_batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(doc.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (tie, start, end))], [f.split()[0] for f in SPAN.split(", ")])
 
 
-def _make_runs(buckets: int):
+def dealt(held: tuple[np.ndarray, ...], buckets: int, often: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Buckets and suffixes; those of common kmers once for each range of offsets, cut to what its windows use."""
+    kmer, right, left, doc, tie, pos, low, high = held
+    hot = often[np.minimum(np.searchsorted(often, kmer), len(often) - 1)] == kmer if len(often) else np.zeros(len(kmer), bool)
+    bucket = (kmer.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)
+    if not hot.any():
+        return bucket, *held[1:]
+    out = [tuple(x[~hot] for x in (bucket, *held[1:]))]
+    cuts = np.linspace(0, REACH + 1, PARTS + 1).astype(int)
+    for first, last in zip(cuts, cuts[1:] - 1, strict=False):
+        own = hot & (low <= last) & (high >= first)
+        a, b = np.maximum(low[own], first), np.minimum(high[own], last)
+        r, x = right[own].copy(), left[own].copy()
+        r[np.arange(WINDOW) >= WINDOW - a[:, None]] = 0
+        x[np.arange(REACH) >= b[:, None]] = 0
+        h = kmer[own].view(np.uint64) + np.uint64(first)
+        for column in [*r[:, KMER : WINDOW - last].T, *x[:, :first].T]:  # what all windows of these offsets share
+            h = (h + column + np.uint64(1)) * np.uint64(_M)
+            h ^= h >> np.uint64(29)
+        out.append(((h >> np.uint64(16)) % np.uint64(buckets), r, x, doc[own], tie[own], pos[own], a, b))
+    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
+
+
+def _make_runs(buckets: int, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            kmer, right, left, doc, tie, pos, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (kmer.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)
+            with np.errstate(over="ignore"):
+                bucket, right, left, doc, tie, pos, low, high = dealt(tuple(np.concatenate(x) for x in zip(*held, strict=True)), buckets, often)
             whole = np.ascontiguousarray(np.hstack([bucket.astype(">u4").view(np.uint8).reshape(-1, 4), right, left, low[:, None].astype(np.uint8), high[:, None].astype(np.uint8)]))
             words = whole.view(f"S{whole.shape[1]}").ravel()
             order = np.lexsort((pos, tie, doc, words))
@@ -409,18 +466,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.select("doc_id", "tie", "text").mapInArrow(_find_anchors, ANCHOR)
     place = F.when(F.col("where").bitwiseAND(ANYWHERE) != 0, F.xxhash64("doc_id", "where")).otherwise(F.col("kmer"))
-    twice = saved(found.repartition(parts, place).sortWithinPartitions("kmer").mapInArrow(_repeated, ANCHOR), "anchors")
+    twice = saved(found.repartition(parts, place).sortWithinPartitions("kmer").mapInArrow(_repeated(COMMON), ANCHOR), "anchors")
     release(spark)
-    buckets = max(parts, -(-twice.count() // BUCKET))
-    of_doc = twice.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("kmer", "where")).alias("anchors"))
+    anchors_of_all, often = twice.where("where >= 0"), _common(twice)
+    buckets = max(parts, -(-(anchors_of_all.count() + (PARTS - 1) * sum(n for _, n in often)) // BUCKET))
+    of_doc = anchors_of_all.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("kmer", "where")).alias("anchors"))
     texts = rows.select("doc_id", "tie", "text").join(of_doc, ["doc_id", "tie"])
-    made = saved(texts.select("doc_id", "tie", "text", "anchors").mapInArrow(_make_runs(buckets), SPAN), "runs")
+    made = saved(texts.select("doc_id", "tie", "text", "anchors").mapInArrow(_make_runs(buckets, np.array(sorted(k for k, _ in often), np.int64)), SPAN), "runs")
     release(spark)
     sent = made.where("bucket is not null").select("bucket", "run").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     spans = sent.mapInArrow(_merge_buckets, SPAN).unionByName(made.where("bucket is null"))
     return saved(spans.select("doc_id", "tie", "start", "end"), "spans")
 
 
+def _common(twice: DataFrame) -> list[tuple[int, int]]:
+    """The common kmers and how often each occurs: MAX_COMMON at most, the most common first."""
+    told = twice.where("where < 0").select("kmer", F.col("doc_id").alias("n")).orderBy(F.desc("n"), "kmer").limit(MAX_COMMON)
+    return list(zip(*(c.to_pylist() for c in told.toArrow().columns), strict=True))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = text_of(docs)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.hash(text).alias("tie"), text.alias("text"))

@@ -53,6 +53,35 @@ def test_matches_brute_force(make):
     assert found(suffixes.without_repeats(make(rows))) == brute(rows)
 
 
+def test_common_strings_are_split(make, monkeypatch):
+    """A string of 40 bytes in all surroundings, with repeats of 100 bytes and more around it in some."""
+    rng = random.Random(13)
+    common = "the same forty bytes stand in every text!"
+    rows = [(i, words(rng, rng.randrange(10, 30)) + common + words(rng, rng.randrange(10, 30))) for i in range(80)]
+    for i in range(80, 140):
+        other = rng.choice(rows)[1]
+        at = other.index(common)
+        a, b = rng.randrange(0, 80), rng.randrange(0, 80)
+        rows.append((i, words(rng, 12) + other[max(0, at - a) : at + len(common) + b] + words(rng, 12)))
+    rows += [(140, common * 20), (141, (common + "x") * 9), *((200 + i, t) for i, t in corpus())]
+    monkeypatch.setattr(suffixes, "COMMON", 5)
+    parts = []
+    dealt = suffixes.dealt
+    often = []
+    monkeypatch.setattr(suffixes, "_common", lambda twice, f=suffixes._common: often.extend(f(twice)) or often)
+    got = found(suffixes.without_repeats(make(rows).repartition(6)))
+    assert got == brute(rows) and len(often) > 5 and max(n for _, n in often) >= 100
+    # The split suffixes cover each offset once.
+    n = 50
+    low, high = np.array([rng.randrange(0, 69) for _ in range(n)]), np.zeros(n, int)
+    high = np.array([rng.randrange(a, 69) for a in low])
+    z = np.zeros(n, int)
+    out = dealt((z, np.ones((n, 100), np.uint8), np.ones((n, 68), np.uint8), np.arange(n), z, z, low, high), 7, np.array([0]))
+    for i in range(n):
+        parts = sorted((a, b) for d, a, b in zip(out[3], out[6], out[7], strict=True) if d == i)
+        assert parts[0][0] == low[i] and parts[-1][1] == high[i] and all(b + 1 == a for (_, b), (a, _) in zip(parts, parts[1:], strict=False))
+
+
 def test_matches_brute_force_in_small_runs(make, monkeypatch):
     """Many runs for each bucket, so that the merge has work to do."""
     rows = corpus()
