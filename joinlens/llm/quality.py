@@ -37,8 +37,6 @@ MIN_Z = 4.0
 TARGETS = ("quality", "toxic")
 #: Toxicity is a matter of words, hardly of shape.
 SHAPE_PENALTY = {"quality": 0.02, "toxic": 50.0}
-#: Limits of a group's shift of the prior, in log-odds: a host alone never decides.
-MAX_SHIFT = 1.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 SHAPES = 9
@@ -185,8 +183,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     both = paths.alias("p").join(at_host.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", *[f"h.host_{t}" for t in TARGETS])
     both = saved(both, "path-priors")
     b = {t: _strength(both, t, F.col(f"host_{t}")) for t in TARGETS}
-    limit = lambda c: F.greatest(F.lit(-MAX_SHIFT), F.least(F.lit(MAX_SHIFT), c))
-    shift = both.select("host", "path", *[limit(_logit((F.col(f"sum_{t}") + b[t] * F.col(f"host_{t}")) / (F.col("n") + b[t])) - float(np.log(prior[t] / (1 - prior[t])))).alias(f"shift_{t}") for t in TARGETS])
+    shift = both.select("host", "path", *[(_logit((F.col(f"sum_{t}") + b[t] * F.col(f"host_{t}")) / (F.col("n") + b[t])) - float(np.log(prior[t] / (1 - prior[t])))).alias(f"shift_{t}") for t in TARGETS])
     joined = scored.alias("s").join(shift.alias("g"), F.col("s.host").eqNullSafe(F.col("g.host")) & F.col("s.path").eqNullSafe(F.col("g.path")))
     return joined.select("s.doc_id", *[_p(F.col(f"s.{t}") + F.coalesce(F.col(f"g.shift_{t}"), F.lit(0.0))).alias(f"p_{t}") for t in TARGETS])
 

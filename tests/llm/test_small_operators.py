@@ -286,6 +286,46 @@ def test_sparse_groups_shrink(spark):
     assert abs(out[1000]["p_quality"] - 1 / (1 + np.exp(-4))) < 0.03
 
 
+def test_posteriors_equal_the_plain_form(spark):
+    """Shrinkage of paths to hosts and hosts to the whole, with numpy; nulls are groups of their own."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        h, p = rng.choice(["a", "b", "c", "d", None]), rng.choice(["x", "y", None])
+        base = {"a": 2.0, "b": -1.0, "c": 0.5, "d": -3.0, None: 0.0}[h]
+        rows.append((i, h, p, float(base + rng.normal()), float(-base + rng.normal())))
+    out = {r["doc_id"]: r for r in quality.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, quality double, toxic double").repartition(5)).collect()}
+    sigmoid, logit = lambda x: 1 / (1 + np.exp(-x)), lambda p: np.log(p / (1 - p))
+    for k, t in enumerate(quality.TARGETS):
+        q = np.array([sigmoid(r[3 + k]) for r in rows])
+        hosts, paths = [r[1] for r in rows], [(r[1], r[2]) for r in rows]
+        prior = q.mean()
+
+        def strength(groups, above):
+            n = {g: groups.count(g) for g in set(groups)}
+            mean = {g: q[[x == g for x in groups]].mean() for g in n}
+            spread = sum(n[g] * (mean[g] - above[g]) ** 2 for g in n)
+            level = np.mean([above[g] for g in n])
+            noise = level * (1 - level)
+            between = max(0.0, (spread - len(n) * noise) / sum(n.values()))
+            return np.clip(noise / between - 1, 1.0, 1e6) if between > 0 else 1e6
+
+        a = strength(hosts, dict.fromkeys(set(hosts), prior))
+        at_host = {h: (q[[x == h for x in hosts]].sum() + a * prior) / (hosts.count(h) + a) for h in set(hosts)}
+        b = strength(paths, {g: at_host[g[0]] for g in set(paths)})
+        at_path = {g: (q[[x == g for x in paths]].sum() + b * at_host[g[0]]) / (paths.count(g) + b) for g in set(paths)}
+        for r in rows:
+            expected = sigmoid(r[3 + k] + logit(at_path[r[1], r[2]]) - logit(prior))
+            assert abs(out[r[0]][f"p_{t}"] - expected) < 1e-9
+
+
+def test_long_texts_are_judged(make, spark):
+    model = quality.Model({"bad": 0}, np.array([[0.1] * quality.SHAPES + [-5.0], [-0.1] * quality.SHAPES + [5.0]]))
+    rows = make([(1, "word " * 400_000 + "bad"), (2, "x" * 2_000_000)])
+    got = {r["doc_id"]: r["toxic"] for r in quality.scores(rows, model, rows["source"], rows["lang"]).collect()}
+    assert got[1] > got[2]
+
+
 # Archives
 
 
