@@ -88,10 +88,11 @@ def cell_modes(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """For each cell of the keys' bins: mass, and for every key the largest multiplicity of a value of it in the cell (mfv_<key>)."""
     bins = [b.alias(f"bin_{k}") for k, b in keys.items()]
     names = [f"bin_{k}" for k in keys]
-    rows = df.select(*keys, *bins).where(" and ".join(f"{k} is not null" for k in keys))
-    out = rows.groupBy(*names).agg(F.count("*").alias("mass"))
+    # Counts of the keys' combinations first: one shuffle of the rows serves mass and modes.
+    counts = df.select(*keys, *bins).where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*names, *keys).agg(F.count("*").alias("n"))
+    out = counts.groupBy(*names).agg(F.sum("n").alias("mass"))
     for k in keys:
-        modes = rows.groupBy(*names, k).agg(F.count("*").alias("n")).groupBy(*names).agg(F.max("n").alias(f"mfv_{k}"))
+        modes = counts.groupBy(*names, k).agg(F.sum("n").alias("n")).groupBy(*names).agg(F.max("n").alias(f"mfv_{k}"))
         out = out.join(modes, names)
     return out
 
@@ -152,24 +153,28 @@ def split_by_counts(counts: DataFrame, bin_map: DataFrame, budget: dict[int, int
 
     A bin without any value of this key stays whole. The driver sees a histogram of counts for each bin that is split.
     """
-    joined = bin_map.join(counts, "value", "left").cache()
+    joined = bin_map.join(counts, "value", "left")
     split = [b for b, k in budget.items() if k > 1]
     hist: dict[int, list[tuple[int, int]]] = {}
     for r in joined.where(F.col("bin").isin(split) & F.col("n").isNotNull()).groupBy("bin", "n").count().collect():
         hist.setdefault(r["bin"], []).append((r["n"], r["count"]))
     base = (bin_map.agg(F.max("bin")).first()[0] or 0) + 1
-    new: Column = F.col("bin")
+    # A row for each class: bin, the least count in it, its new bin, and the bin's classes for values without a count.
+    classes = []
     for b in sorted(hist):
         rows = sorted(hist[b])
         starts = jenks(np.array([n for n, _ in rows], float), np.array([c for _, c in rows], float), budget[b])
         ids = [b, *range(base, base + len(starts) - 1)]
         base += len(starts) - 1
-        inside: Column = F.lit(ids[0])
-        for i, start in zip(ids[1:], starts[1:], strict=True):
-            inside = F.when(F.col("n") >= rows[start][0], F.lit(i)).otherwise(inside)
-        absent = F.element_at(F.array(*map(F.lit, ids)), (F.pmod(F.xxhash64("value"), F.lit(len(ids))) + 1).cast("int"))
-        new = F.when((F.col("bin") == b), F.when(F.col("n").isNull(), absent).otherwise(inside)).otherwise(new)
-    return joined.select("value", new.cast("int").alias("bin"))
+        classes.append((b, [rows[i][0] for i in starts], ids))
+    if not classes:
+        return bin_map.select("value", "bin")
+    lookup = bin_map.sparkSession.createDataFrame(classes, "bin int, least array<long>, ids array<int>")
+    both = joined.join(F.broadcast(lookup), "bin", "left")  # as many rows as bins, as many numbers as the budget
+    at = F.greatest(F.size(F.filter("least", lambda x: x <= F.col("n"))), F.lit(1))
+    absent = F.pmod(F.xxhash64("value"), F.size("ids")) + 1
+    new = F.when(F.col("ids").isNull(), F.col("bin")).otherwise(F.element_at("ids", F.when(F.col("n").isNull(), absent).otherwise(at).cast("int")))
+    return both.select("value", new.cast("int").alias("bin"))
 
 
 def add_unseen(bin_map: DataFrame, counts: DataFrame, start_counts: DataFrame) -> DataFrame:

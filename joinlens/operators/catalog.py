@@ -112,6 +112,21 @@ class TableModel:
         (value, names) = done[order[0]]
         return self.rows * np.einsum(names + "->" + "".join(letters[k] for k in keys), value)
 
+    def sampled_probability(self, weights: dict[str, np.ndarray], draws: int = 2000, seed: int = 0) -> float:
+        """The share of rows that pass, by progressive sampling: down the tree each draw takes a state among those that pass and is worth their probability. Unbiased."""
+        rng = np.random.default_rng(seed)
+        worth, state, stack = np.ones(draws), {}, [c for c, p in self.tree.items() if p is None]
+        while stack:
+            c = stack.pop()
+            stack += [x for x, p in self.tree.items() if p == c]
+            table = self.counts[c] / np.maximum(self.counts[c].sum(1, keepdims=True), 1e-300)
+            p = table[state[self.tree[c]] if self.tree[c] is not None else np.zeros(draws, int)] * weights.get(c, 1.0)
+            total = p.sum(1)
+            worth *= total
+            at = (p / np.maximum(total, 1e-300)[:, None]).cumsum(1)
+            state[c] = np.minimum((at < rng.random(draws)[:, None]).sum(1), p.shape[1] - 1)
+        return float(worth.mean())
+
     def cells(self, keys: tuple[str, ...], filters: list[str]) -> Cells | None:
         """The factor of some keys under a filter; None if the filter or the keys aren't modelled."""
         stored = self.factors.get(keys)

@@ -28,17 +28,23 @@ class TableNetwork:
     edges: dict[str, list[float]]  # of the continuous attributes
     modes: DataFrame  # bin_<i>, mode_<i> of the whole table's keys
     keys: tuple[str, ...]
+    states: dict[str, list]  # of each attribute: bayes.CONTINUOUS_ABOVE values or INTERVALS numbers at most
 
 
 def learn(df: DataFrame, keys: list[str], attributes: list[str], bins: int = 64, intervals: int = INTERVALS) -> TableNetwork:
     """Attributes of over bayes.CONTINUOUS_ABOVE values become intervals of equal mass; the others keep their values."""
     kinds = {r["column_name"]: r["kind"] for r in bayes.attribute_types(df, attributes).collect()}
+    many = [a for a in attributes if kinds[a] == "continuous" and df.schema[a].dataType.typeName() in ("string", "boolean")]
+    if many:
+        raise ValueError(f"{many} have too many values for states: leave them out, or pack them (catalog)")
     edges = {a: bayes.quantile_edges(df.select(F.col(a).cast("double").alias(a)), a, intervals, exact=False) for a in attributes if kinds[a] == "continuous"}
     code = lambda a: bayes.interval_bin(F.col(a).cast("double"), edges[a]) if a in edges else F.col(a)
     coded = df.select(*[modulo_bin(F.col(k), bins).alias(f"bin_{k}") for k in keys], *[code(a).alias(a) for a in attributes])
     tree = bayes.structure(coded, coded.columns)
     modes = base_factor(df, "t", {i: [k] for i, k in enumerate(keys)}, lambda g, c: modulo_bin(c, bins)).df.drop("mass")
-    return TableNetwork(df.count(), bins, coded, tree, edges, modes, tuple(keys))
+    found = coded.agg(*[F.collect_set(a).alias(a) for a in attributes]).first() if attributes else {}
+    states = {a: sorted(found[a]) for a in attributes}
+    return TableNetwork(df.count(), bins, coded, tree, edges, modes, tuple(keys), states)
 
 
 def network_factor(net: TableNetwork, alias: str, groups: dict[int, str], filters: list[str]) -> Factor:
@@ -47,9 +53,8 @@ def network_factor(net: TableNetwork, alias: str, groups: dict[int, str], filter
     weights = {}
     for name, condition in predicates.merge(filters).items():
         column = name.split(".")[-1]
-        states = [r[0] for r in net.coded.select(column).where(F.col(column).isNotNull()).distinct().collect()]  # of a discretised column
         kind = net.coded.schema[column].dataType.simpleString()
-        weights[column] = spark.createDataFrame(predicates.weights(condition, states, net.edges.get(column)), f"state {kind}, weight double")
+        weights[column] = spark.createDataFrame(predicates.weights(condition, net.states[column], net.edges.get(column)), f"state {kind}, weight double")
     names = [f"bin_{k}" for k in net.keys]
     masses = bayes.key_distribution(net.coded, net.tree, weights, names)
     place = {k: i for i, k in enumerate(net.keys)}

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinlens.operators.bound import estimate, true_count
+from joinlens.operators.catalog import Catalog, TableModel
+from joinlens.plans.parser import parse
+from joinlens.schema import SchemaGraph
 
 PERCENTS = (0.5, 0.9, 0.95, 0.99, 1.0)
 
@@ -58,3 +61,69 @@ def random_filters(df: DataFrame, columns: list[str], count: int, seed: int = 0,
             parts.append(f"{c} {rng.choice(['=', '<=', '>=']) if isinstance(value, int | float) else '='} {literal}")
         out.append(" AND ".join(parts))
     return out
+
+
+def at_least_one(c: Column) -> Column:
+    """Counts and estimates below one as one, null too."""
+    return F.greatest(F.coalesce(c.cast("double"), F.lit(1.0)), F.lit(1.0))
+
+
+def random_joins(schema: SchemaGraph, tables: Callable[[str], DataFrame], columns: dict[str, list[str]], count: int, most: int = 4, seed: int = 0) -> list[str]:
+    """Counting queries over random connected tables of the schema, with filters of values that occur on the given columns."""
+    rng = random.Random(seed)
+    edges = [e for e in schema.edges if e.left in columns and e.right in columns]
+    filters = {t: random_filters(tables(t), c, 4 * count, seed) for t, c in sorted(columns.items()) if c}
+    out = []
+    for _ in range(count if edges else 0):
+        names, joins = {rng.choice(edges).left}, []
+        for _ in range(rng.randint(1, most - 1)):
+            near = [e for e in edges if (e.left in names) != (e.right in names)]
+            if not near:
+                break
+            e = rng.choice(near)
+            names |= {e.left, e.right}
+            joins.append(str(e))
+        where = [f"({x})" if " OR " in x else x for t in sorted(names) if filters.get(t) and rng.random() < 0.7 for x in [rng.choice(filters[t])]]
+        out.append(f"SELECT COUNT(*) FROM {', '.join(sorted(names))} WHERE {' AND '.join([*joins, *where])}")
+    return out
+
+
+def run_subplans(spark: SparkSession, queries: list[str], models: Catalog, schema: SchemaGraph | None = None, tables: Callable[[str], DataFrame] | None = None, truth: bool = True) -> DataFrame:
+    """query, aliases, estimate, truth (null unless asked for) and seconds of the whole query's estimates, for every sub-plan of two tables or more."""
+    out = []
+    for sql in queries:
+        q = parse(sql, schema)
+        began = time.perf_counter()
+        found = models.subplans(q, tables)
+        took = time.perf_counter() - began
+        for s, e in found.items():
+            if len(s) > 1:
+                true = int(spark.sql(q.sql("COUNT(*)", set(s))).first()[0]) if truth else None
+                out.append((sql, " ".join(sorted(s)), float(e), true, took))
+    return spark.createDataFrame(out, "query string, aliases string, estimate double, truth long, seconds double")
+
+
+def timed_execution(queries: list[str], tables: Callable[[str], DataFrame], models: Catalog, schema: SchemaGraph | None = None) -> list[tuple[str, list[str], float, float, int]]:
+    """For each query: the join order that the estimates advise, seconds to plan it, seconds to run it, and its count."""
+    from joinlens.plans import planner
+
+    out = []
+    for sql in queries:
+        q = parse(sql, schema)
+        began = time.perf_counter()
+        sizes = models.subplans(q, tables)
+        names, _ = planner.best_order(q, sizes.__getitem__)
+        planned = time.perf_counter()
+        n = planner.ordered_join(q, tables, names).count()
+        out.append((sql, names, planned - began, time.perf_counter() - planned, n))
+    return out
+
+
+def accepted(df: DataFrame, model: TableModel, filters: list[str], least: float = 1.5) -> list[tuple[str, float, int, bool]]:
+    """(filter, modelled rows, rows, whether their q-error is at most ``least``) of one table."""
+    out = []
+    for text in filters:
+        cells = model.cells(next(iter(model.factors)), text.split(" AND "))
+        guess, true = max(1.0, cells.total), max(1, df.where(text).count())
+        out.append((text, guess, true, max(guess / true, true / guess) <= least))
+    return out

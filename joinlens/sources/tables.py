@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinlens.plans.parser import Query
+from joinlens.plans.parser import JoinCondition, Predicate, Query
 from joinlens.schema import TableDef
 
 #: Dialects of CSV exports.
@@ -53,3 +53,26 @@ def load_model(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame],
 def query_to_json(query: Query) -> str:
     """A query's join graph: nodes with their tables and filters, edges as key groups."""
     return json.dumps({"nodes": {a: {"table": t, "filters": query.filters(a)} for a, t in query.aliases.items()}, "edges": query.key_groups(), "select": query.select})
+
+
+def read_query_json(text: str) -> Query:
+    """What ``query_to_json`` wrote."""
+    d = json.loads(text)
+    joins = tuple(JoinCondition(tuple(a), tuple(b)) for g in d["edges"] for a, b in zip(g, g[1:], strict=False))
+    predicates = tuple(Predicate(p, frozenset({a})) for a, n in d["nodes"].items() for p in n["filters"])
+    return Query(d["select"], {a: n["table"] for a, n in d["nodes"].items()}, joins, predicates)
+
+
+def write_csv(df: DataFrame, path: str, dialect: str = "header") -> None:
+    """A folder of CSV files that ``read_csv`` reads with the same dialect."""
+    df.write.mode("overwrite").options(**{k: str(v) for k, v in DIALECTS[dialect].items()}).csv(path)
+
+
+def save_bins(maps: dict[str, DataFrame], path: str) -> None:
+    """Bin maps (value, bin) of key groups, one table partitioned by group."""
+    for group, m in sorted(maps.items()):
+        m.select("value", "bin").write.mode("overwrite").parquet(f"{path}/grp={group}")
+
+
+def load_bins(spark: SparkSession, path: str, group: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/grp={group}").select("value", "bin")

@@ -35,6 +35,15 @@ def merge_modes(old: DataFrame, new: DataFrame, small: int = 10, share: float =
     return both.select("bin", F.when(a <= small, F.greatest(a, b).cast("double")).otherwise(a + share * b).alias("mfv"))
 
 
+def merge_cell_modes(old: DataFrame, new: DataFrame, keys: list[str], small: int = 5, share: float = 0.5) -> DataFrame:
+    """Cells of several keys (bin_<key>, mass, mfv_<key>) of both: masses add up, modes by the rule of ``merge_modes`` with its limit for cells."""
+    names = [f"bin_{k}" for k in keys]
+    both = old.select(*names, F.col("mass").alias("__m"), *[F.col(f"mfv_{k}").alias(f"__{k}") for k in keys]).join(new.select(*names, "mass", *[f"mfv_{k}" for k in keys]), names, "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rule = lambda a, b: F.when(a <= small, F.greatest(a, b).cast("double")).otherwise(a + share * b)
+    return both.select(*names, (zero("__m") + zero("mass")).alias("mass"), *[rule(zero(f"__{k}"), zero(f"mfv_{k}")).alias(f"mfv_{k}") for k in keys])
+
+
 def merge_cpd_counts(old: DataFrame, new: DataFrame, states: list[str]) -> DataFrame:
     """Counts of a distribution's cells, added: the distribution of both tables together, exactly."""
     return old.unionByName(new).groupBy(*states).agg(F.sum("value").alias("value"))
