@@ -248,6 +248,14 @@ def test_centroids_equal_the_plain_form(make, spark):
         assert out[i]["lang_pred"] == best and abs(out[i]["score"] - cosine[best]) < 1e-4
 
 
+def test_very_long_texts_have_a_language(make, spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    english = " ".join(r["text"] for r in docs.where("lang = 'en' and text is not null").limit(20).collect())
+    out = langid.predict(make([(1, (english + " ") * (3_000_000 // len(english)))]), model).first()
+    assert out["lang_pred"] == "en" and not out["rejected"]
+
+
 def test_nothing_to_learn_from(make):
     rows = make([(1, "some text"), (2, None)], lang=None)
     model = langid.fit(rows)
