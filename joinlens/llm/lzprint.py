@@ -182,3 +182,15 @@ TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.s
 
 def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def lz_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: the lengths and the edited texts."""
+    return op2_lz_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS following FROM d)
+SELECT doc_id, n AS n_chars, sha256(substring(t, 1, n - n // 4) || substring(following, 1, n // 4)) AS edited_sha256 FROM n
+"""

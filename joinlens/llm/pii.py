@@ -323,3 +323,20 @@ def redact(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: the base spans of each kind, counted."""
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+BASE_SQL = r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+  list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+  CAST(len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 256) > 255)) = 0)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(card, lambda d: length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(d[length(d) - i] AS INT)
+    ELSE CASE WHEN CAST(d[length(d) - i] AS INT) > 4 THEN 2 * CAST(d[length(d) - i] AS INT) - 9 ELSE 2 * CAST(d[length(d) - i] AS INT) END END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phone, lambda d: length(d) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone FROM m
+"""

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from joinlens.llm.decontaminate import op10_decontaminate
 from joinlens.llm.langid import op9_language_id
-from joinlens.llm.lzprint import op2_lz_fingerprint
+from joinlens.llm.lzprint import EDITED_SQL, lz_edited_texts, op2_lz_fingerprint
 from joinlens.llm.neardup import OP4_SQL, op4_near_duplicates
 from joinlens.llm.packing import op7_packing
-from joinlens.llm.pii import op3_pii
+from joinlens.llm.pii import BASE_SQL, op3_pii, pii_base_counts
 from joinlens.llm.quality import op5_quality
 from joinlens.llm.suffixes import op1_suffix_dedup
 from joinlens.llm.warc import OP6_SQL, op6_warc
@@ -19,8 +19,8 @@ from joinlens.llm.wrapper import op8_wrapper_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_lz_fingerprint, op3_pii, op4_near_duplicates, op5_quality, op6_warc, op7_packing, op8_wrapper_text, op9_language_id, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_lz_fingerprint, op3_pii, op4_near_duplicates, op5_quality, op6_warc, op7_packing, op8_wrapper_text, op9_language_id, op10_decontaminate, lz_edited_texts, pii_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": OP4_SQL, "op6_warc": OP6_SQL}
+    return {"op4_near_duplicates": OP4_SQL, "op6_warc": OP6_SQL, "lz_edited_texts": EDITED_SQL, "pii_base_counts": BASE_SQL}

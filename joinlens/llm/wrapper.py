@@ -48,8 +48,9 @@ CONSTANT = 0.9
 LINKS = 0.9
 #: Share of the varying text that must stand outside of elements with telling names.
 OUTSIDE_NAMES = 0.1
-#: Templates that a task holds before it passes them on.
+#: Templates that a task holds before it passes them on, and results of matching that it keeps.
 HELD = 20_000
+KEPT_MATCHES = 200_000
 
 # Names of HTML elements and attribute words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -326,6 +327,9 @@ class Matcher:
         self.scores: dict[tuple[int, int], int] = {}
         self.paired: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
+    def __len__(self) -> int:
+        return len(self.paired) + len(self.scores)
+
     def score(self, page: Page, a: int, b: int) -> int:
         """Nodes that match in the two trees; 0 if the roots differ."""
         t, stack = self.t, [(a, b)]
@@ -405,7 +409,7 @@ class Matcher:
                         self.score(page, page.runs[x][p][0], self.t.children[y][q])
                 found += [(head + p, head + q) for p, q in self._best(*self._table(xs[head:i], ys[head:j]))]
             found += [(i + k, j + k) for k in range(tail)]
-            if len(self.paired) + len(self.scores) > HELD * 50:
+            if len(self) > KEPT_MATCHES:
                 self.paired.clear()
                 self.scores.clear()
             self.paired[key] = found
@@ -439,7 +443,7 @@ _BLOCK = pa.struct([("entry", pa.int64()), ("key", pa.int64()), ("doubt", pa.int
 
 def aligned(page: Page, matcher: Matcher | None) -> list[tuple]:
     """The page's text blocks as they are stored."""
-    keys = (matcher or Matcher(Template.of(page))).keys(page)
+    keys = (Matcher(Template.of(page)) if matcher is None else matcher).keys(page)
     return [(_hashed(keys[i].to_bytes(8, "little", signed=True), text.encode("utf-8", "surrogatepass")), keys[i], keys[page.doubt[i]] if page.doubt[i] >= 0 else 0, page.many[i], links, text) for i, text, links in page.blocks]
 
 
@@ -509,7 +513,7 @@ def align(pages: DataFrame, found: DataFrame) -> DataFrame:
             for host, html, *both in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 page = read(html)
                 if (host, page.marked) not in matchers:
-                    if len(matchers) > 200:
+                    if len(matchers) > 200 or sum(map(len, matchers.values())) > KEPT_MATCHES:
                         matchers.clear()
                     matchers[host, page.marked] = Matcher(Template(*json.loads(both[0] if page.marked else both[1])))
                 own = aligned(page, matchers[host, page.marked])

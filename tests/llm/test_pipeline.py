@@ -84,7 +84,7 @@ def test_names_and_registration():
     import __spark_entry__
 
     assert set(registry.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
