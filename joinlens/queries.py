@@ -417,7 +417,10 @@ def pairwise_mi(spark, sf):
     return _rounded(bayes.mutual_information(bayes.pair_counts(load(spark, sf, "lineitem"), _MI)), "mi")
 
 
-@query()
+@query("WITH RECURSIVE mi AS (" + " UNION ALL ".join(_mi_sql(a, b) for i, a in enumerate(_MI) for b in _MI[i + 1 :]) + """), e AS (SELECT a AS p, b AS c, mi FROM mi UNION ALL SELECT b, a, mi FROM mi),
+t AS (SELECT 0 AS k, ['l_returnflag'] AS seen, 'l_returnflag' AS child, CAST(NULL AS VARCHAR) AS parent
+  UNION ALL SELECT k + 1, list_append(seen, c), c, p FROM (SELECT k, seen, c, p, row_number() OVER (ORDER BY mi DESC, c, p) AS r FROM t JOIN e ON list_contains(seen, p) AND NOT list_contains(seen, c)) WHERE r = 1)
+SELECT child, parent FROM t""")
 def chow_liu_tree(spark, sf):
     tree = bayes.structure(load(spark, sf, "lineitem"), _MI)
     return spark.createDataFrame(sorted((c, p) for c, p in tree.items()), "child string, parent string")
