@@ -112,8 +112,9 @@ def anchors_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 #: where: position, least and largest offset, and two flags in one number, as many anchors are moved.
-#: same: how often the step has the kmer, for its first row there. A row with a negative place tells a common kmer and, as doc_id, how often it occurs.
-ANCHOR = "kmer long, doc_id long, tie int, where long, same int"
+#: Above them, how often the step has the kmer (MOST at most). A row with a negative place tells a common kmer and, as doc_id, how often it occurs.
+ANCHOR = "kmer long, doc_id long, tie int, where long"
+SAME, MOST = 47, 65_535
 KNOWN, ANYWHERE = 2, 1
 
 
@@ -122,17 +123,17 @@ def pack(pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def unpack(where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return where >> 16, where >> 9 & 127, where >> 2 & 127
+    return where >> 16 & (1 << SAME - 16) - 1, where >> 9 & 127, where >> 2 & 127
 
 
-def _flags(kmer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _flags(kmer: np.ndarray) -> np.ndarray:
     """Flags, and how often the step has the kmer. KNOWN: the anchor repeats, as its step has the kmer twice. The first of a step goes to its kmer's task,
     where it meets those of other steps; the others, whose fate is known, go ANYWHERE. So a very common kmer
     sends one row for each step to its task."""
     _, first, inverse, count = np.unique(kmer, return_index=True, return_inverse=True, return_counts=True)
     out = np.where(count[inverse] > 1, KNOWN | ANYWHERE, 0)
     out[first] &= ~ANYWHERE
-    return out, count[inverse].astype(np.int32)
+    return out | np.minimum(count[inverse], MOST) << SAME
 
 
 NAMES = [f.split()[0] for f in ANCHOR.split(", ")]
@@ -143,8 +144,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, starts = joined_bytes(batch, "text")
         text, pos, low, high, kmer = anchors(data, starts)
         rows = pa.array(text)
-        flags, same = _flags(kmer)
-        yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pack(pos, low, high) | flags), pa.array(same)], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pack(pos, low, high) | _flags(kmer))], NAMES)
 
 
 def _repeated(above: int):
@@ -157,14 +157,15 @@ def _repeated(above: int):
 
         def common(kmers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             big = n > above
-            return pa.RecordBatch.from_arrays([pa.array(kmers[big]), pa.array(n[big]), pa.array(np.zeros(big.sum(), np.int32)), pa.array(np.full(big.sum(), -1)), pa.array(np.zeros(big.sum(), np.int32))], NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(kmers[big]), pa.array(n[big]), pa.array(np.zeros(big.sum(), np.int32)), pa.array(np.full(big.sum(), -1))], NAMES)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             k = np.asarray(batch.column(0))
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            n = np.add.reduceat(np.where(np.asarray(batch.column(3)) & ANYWHERE, 0, np.asarray(batch.column(4))).astype(np.int64), edge)
+            where = np.asarray(batch.column(3))
+            n = np.add.reduceat(np.where(where & ANYWHERE, 0, where >> SAME), edge)
             if open_n and k[0] == open_kmer:
                 n[0] += open_n
             elif open_n > above:
