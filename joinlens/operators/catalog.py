@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 
 from joinlens.operators import bayes, predicates
 from joinlens.operators.binning import modulo_bin
-from joinlens.operators.cells import MAX_CELLS, NULL, Cells, join, summed
+from joinlens.operators.cells import MAX_CELLS, NULL, Cells, coarse, join, summed
 from joinlens.plans.parser import Query, QueryError, parse
 from joinlens.schema import SchemaGraph
 from joinlens.sources.tables import load_model, save_model
 
 COMMON, PACKS, INTERVALS = 30, 60, 120
+#: Cells of a table's factor that a query's joins start from.
+FACTOR_CELLS = 40_000
 #: Bound of the rows (a hash sample) that a tree's shape is learned from. Its counts are those of all rows.
 STRUCTURE_ROWS = 200_000
 
@@ -180,7 +182,17 @@ class Catalog:
                 scans[alias] = scan(df, own, [tuple(sorted(own))], self.bins)
         for alias, found in collected(scans).items():
             (out[alias],) = found.values()
-        return out
+        return self._coarsened(out)
+
+    def _coarsened(self, base: dict[str, Cells]) -> dict[str, Cells]:
+        """Where a table joins on so many groups that its factor has over FACTOR_CELLS cells, half the bins of these groups, in all tables, until it hasn't."""
+        bins: dict[int, int] = {}
+        for alias in sorted(base):
+            f = base[alias]
+            while len(f.mass) > FACTOR_CELLS and all(bins.get(g, self.bins) % 2 == 0 for g in f.groups):
+                bins |= {g: bins.get(g, self.bins) // 2 for g in f.groups}
+                f = coarse(f, bins)
+        return {a: coarse(f, bins) for a, f in base.items()} if bins else base
 
     def subplans(self, query: Query | str, tables: Callable[[str], DataFrame] | None = None) -> dict[frozenset[str], float]:
         """An estimate for every connected set of aliases, each from one smaller by a table (the smallest such), all from the same base factors."""
