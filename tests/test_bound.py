@@ -64,6 +64,33 @@ def test_filters_stay_with_their_alias():
     assert q.key_groups() == [[("t1", "id"), ("t2", "parent")]]
 
 
+OR_CONDITIONS = [
+    ("(a.v = 1 OR a.w = 2) AND a.k = b.k AND b.v BETWEEN 1 AND 2", 1),
+    ("a.k = b.k AND (a.v BETWEEN 1 AND 2 OR b.w IS NULL) AND a.w <> 3", 1),
+    ("(a.v BETWEEN 1 AND 2 OR a.w = 1) AND a.k = b.k", 1),
+    ("(a.k = b.k AND (a.v = 1 OR a.w = 2))", 1),
+    ("a.v = 1 AND a.k = b.k OR b.w = 2 AND a.k = 0", 0),
+    ("CASE WHEN a.v = 1 AND b.w = 2 OR a.w = 0 THEN 1 ELSE 0 END = 1 AND a.k = b.k", 1),
+]
+
+
+@pytest.mark.parametrize(("where", "joins"), OR_CONDITIONS)
+def test_text_of_a_query_keeps_what_an_or_holds_together(spark, where, joins):
+    rows = [(k, v, w) for k in range(3) for v in (1, 2, 3) for w in (0, 1, 2, 3, None)]
+    for name in "ab":
+        spark.createDataFrame(rows, "k int, v int, w int").createOrReplaceTempView(name)
+    sql = f"SELECT COUNT(*) FROM a, b WHERE {where}"
+    q = parse(sql)
+    assert len(q.joins) == joins
+    assert spark.sql(q.sql()).first() == spark.sql(sql).first()
+
+
+@pytest.mark.parametrize("text", ["CASE WHEN a.x = 1 THEN 1", "a.x = 1 AND CASE WHEN a.x = 1 THEN 1", "a.x = 1 END AND a.y = 1"])
+def test_unbalanced_cases_are_refused(text):
+    with pytest.raises(QueryError):
+        parse(f"SELECT COUNT(*) FROM a WHERE {text}")
+
+
 @pytest.mark.parametrize("text", ["", "SELECT COUNT(*) FROM", "SELECT 1 FROM a WHERE", "SELECT COUNT(*) FROM a, a", "SELECT COUNT(*) FROM a LEFT JOIN b ON a.x = b.x", "SELECT COUNT(*) FROM a WHERE (a.x = 1", "SELECT COUNT(*) FROM a WHERE b.x = 1"])
 def test_other_shapes_are_refused(text):
     with pytest.raises(QueryError):

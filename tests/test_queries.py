@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from joinlens import queries as core
+from joinlens.plans import planner
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,6 +44,20 @@ def test_query_without_sql_has_rows(spark, name):
     assert core.queries()[name](spark, SF).count() > 0
 
 
+def test_a_query_with_an_or_joins_by_its_keys(spark, tmp_path):
+    """Rows that meet one side of the OR and nothing else lower neither minimum."""
+    name, sf = "jobstyle_min_like_in_between", str(tmp_path)
+    duckdb.sql(f"copy (select * from '{SF}/supplier.parquet') to '{sf}/supplier.parquet'")
+    duckdb.sql(f"copy (select * from '{SF}/part.parquet' union all select 100000, 'a steel', 'Brand#1', 'STEEL', 1, 1.0) to '{sf}/part.parquet'")
+    duckdb.sql(f"copy (select * from '{SF}/lineitem.parquet' union all select * replace (-1 as l_partkey, 0.5 as l_extendedprice) from '{SF}/lineitem.parquet' limit 6001) to '{sf}/lineitem.parquet'")
+    c = duckdb.connect()
+    for t in ("lineitem", "part", "supplier"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = core.queries()[name](spark, sf)
+    assert not [x for x in planner.join_order(df) if "NestedLoop" in x or "Cartesian" in x]
+    assert [tuple(r) for r in df.collect()] == c.sql(core.oracle_sql()[name]).fetchall()
+
+
 def test_entry_is_close(spark):
     import __spark_entry__
 
